@@ -9,9 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +51,7 @@ def id_filter(ids: DataFrame, col: str, bits: int = 1 << 23) -> np.ndarray:
     words = (
         ids.select(h.alias("h"))
         .groupBy((F.col("h") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))).alias("v"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))")).alias("v"))
     )
     out = np.zeros(bits // 64, np.int64)
     for r in words.collect():  # at most bits / 64 rows

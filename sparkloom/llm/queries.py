@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_knn, hilbert_shards, merkle_audit, secret_scan
+from . import block_knn, hilbert_shards, merkle_audit, near_dup, secret_scan
 from .common import read, table
 
 
@@ -18,6 +18,10 @@ def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_audit.audit(ours, theirs)
 
 
+def op4_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_merkle_fixity_audit, op5_hilbert_shards, op9_block_knn, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_merkle_fixity_audit, op4_hyperminhash_near_dup, op5_hilbert_shards, op9_block_knn, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_merkle_fixity_audit": """
