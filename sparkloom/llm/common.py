@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -65,3 +65,19 @@ def id_hash(col: str, bits: int = 1 << 23) -> Column:
 
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[hashes >> 6] >> (hashes & 63)) & 1 == 1
+
+
+def place_in(df: DataFrame, cell: str, order: list[str], rows_per_slice: int = 1024) -> DataFrame:
+    """Adds cell_place, the gapless place (from 0) of a row among the rows of its cell, and cell_rows, their number.
+
+    A cell is dealt into slices by a hash of the order columns, one for every rows_per_slice of its rows, so that a cell
+    that holds a third of the table is split like any other; a place is the rows of lower slices and those before it in
+    its own slice. df is read three times: give it a table. The place follows the order columns within a slice only.
+    """
+    counts = df.groupBy(cell).agg(F.count("*").alias("cell_rows"))
+    cut = df.join(counts, cell).withColumn("slice", F.pmod(F.xxhash64(*order, F.lit(7)), F.ceil(F.col("cell_rows") / rows_per_slice)).cast("int"))
+    sizes = cut.groupBy(cell, "slice").agg(F.count("*").alias("slice_rows"))
+    below = Window.partitionBy(cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(cell, "slice", F.coalesce(F.sum("slice_rows").over(below), F.lit(0)).alias("slice_start"))
+    placed = cut.withColumn("in_slice", F.row_number().over(Window.partitionBy(cell, "slice").orderBy(*order))).join(sizes, [cell, "slice"])
+    return placed.withColumn("cell_place", (F.col("slice_start") + F.col("in_slice") - 1).cast("long")).drop("slice", "slice_start", "in_slice")
