@@ -69,12 +69,14 @@ class CountingTransducer:
         self.symbols = letters + [x + END for x in letters]
         self.tokens = {a + b for a, b in pairs} | set(self.symbols)
         self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
+        self.made = {a + b: (i, a, b) for i, (a, b) in reversed(list(enumerate(pairs)))}
+        self.edges = functools.cache(self.edge)
         self.beside: dict[tuple[str | None, str], bool] = {}
         self.reset()
 
     def reset(self) -> None:
         first = ("", (None,), (0,))
-        self.states, self.known, self.step = [first], {first: 0}, {}
+        self.states, self.known, self.step = [first], {"": 0}, {}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding as defined: the pair of lowest rank first, all its places from the left."""
@@ -93,11 +95,35 @@ class CountingTransducer:
             parts = out
         return parts
 
+    def edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The tokens that stand at one edge (0 left, 1 right) of a token while it is merged, the last first, each with the
+        rank of the merge that ends it."""
+        found, until = [], float("inf")
+        while True:
+            found.append((token, until))
+            if token not in self.made:
+                return found
+            until = self.made[token][0]
+            token = self.made[token][1 + side]
+
     def can_follow(self, left: str | None, token: str) -> bool:
-        """Whether `token` is encoded as itself right after `left` (None: at the start of the word)."""
+        """Whether `token` is encoded as itself right after `left` (None: at the start of the word).
+
+        It is, if no merge across the boundary comes before the merges that take its two sides away. Of equal pairs the left one
+        goes first: so a merge inside `left` wins a tie, and one inside `token` loses it.
+        """
         found = self.beside.get((left, token))
         if found is None:
-            found = self.beside[left, token] = self.merge((left or "") + token) == ([token] if left is None else [left, token])
+            if left is None:
+                found = self.merge(token) == [token]
+            else:
+                rank, rights = self.rank.get, self.edges(token, 0)
+                found = self.can_follow(None, token)
+                for x, x_end in self.edges(left, 1) if found else ():
+                    for y, y_end in rights:
+                        if (r := rank((x, y))) is not None and r < x_end and r <= y_end:
+                            found = False
+            self.beside[left, token] = found
         return found
 
     def compile(self, state: int, symbol: int) -> int:
@@ -112,10 +138,12 @@ class CountingTransducer:
         out = change + 64
         if symbol < 256:
             w = self.longest
-            key = ((read + now)[1 - w :], (*last, token)[-w:], (*(m - change for m in more), 0)[-w:])
+            grown = read + now
+            # a whole prefix tells all else; when its start has left the window, the rest of the state counts too
+            key = grown if len(grown) < w - 1 else (grown[1 - w :], (*last, token)[-w:], (*(m - change for m in more), 0)[-w:])
             n = self.known.setdefault(key, len(self.states))
             if n == len(self.states):
-                self.states.append(key)
+                self.states.append((grown, (*last, token), (*(m - change for m in more), 0)) if isinstance(key, str) else key)
             out += n * 128
         self.step[state << 9 | symbol] = out
         return out
