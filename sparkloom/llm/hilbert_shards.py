@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import place_in, table
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -49,29 +49,22 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda acc: acc["index"])
 
 
-def cut_runs(df: DataFrame, cell: str, order: list[str], shards: int, rows_per_run: int = 50_000) -> DataFrame:
-    """Adds shard and slot: rows in the order of (cell, a hash, the order columns), cut into runs of equal counts.
+def cut_runs(df: DataFrame, cell: str, order: list[str], shards: int) -> DataFrame:
+    """Adds shard and slot: rows in the order of (cell, place in the cell), cut into runs of equal counts.
 
-    The place of a row in the whole order is the sum of three counts, so no task ever sees the whole table: rows of
-    lower cells, rows of lower slices of the same cell, rows before it in its slice. A cell has a slice for every
-    rows_per_run of its rows: a cell that holds a third of the table is split like any other.
+    The place of a row in the whole order is the rows of lower cells and its place in its own (see place_in), so no task
+    ever sees the whole table.
     """
-    counts = df.groupBy(cell).agg(F.count("*").alias("cell_rows"))
-    counts = counts.withColumn("slices", F.ceil(F.col("cell_rows") / rows_per_run).cast("int"))
-    counts = counts.withColumn("cell_start", F.coalesce(F.sum("cell_rows").over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("rows_all", F.sum("cell_rows").over(Window.partitionBy()))
     # a row for each cell of the grid that is not empty: at most 2 ** (dims * bits), 4096 by default
-    placed = df.join(F.broadcast(counts), cell).withColumn("slice", F.pmod(F.xxhash64(*order, F.lit(7)), F.col("slices")).cast("int"))
-    placed = placed.withColumn("in_slice", F.row_number().over(Window.partitionBy(cell, "slice").orderBy(*order)))
-    sizes = placed.groupBy(cell, "slice").agg(F.max("in_slice").alias("slice_rows"))
-    sizes = sizes.withColumn("slice_start", F.coalesce(F.sum("slice_rows").over(Window.partitionBy(cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("cell_start") + F.col("slice_start") + F.col("in_slice") - 1
+    starts = df.groupBy(cell).agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(cell, F.coalesce(below, F.lit(0)).alias("cell_start"), F.sum("n").over(Window.partitionBy()).alias("rows_all"))
+    placed = place_in(df, cell, order).join(F.broadcast(starts), cell).withColumn("place", F.col("cell_start") + F.col("cell_place"))
     # run i starts at ceil(i * rows / shards): counts differ by one at most
-    shard = (place * shards - F.pmod(place * shards, F.col("rows_all"))) / F.col("rows_all")
-    first = lambda s: (s * F.col("rows_all") + shards - 1 - F.pmod(s * F.col("rows_all") + shards - 1, F.lit(shards))) / shards
-    out = placed.join(sizes.select(cell, "slice", "slice_start"), [cell, "slice"]).withColumn("place", place)
-    out = out.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("place") - first(F.col("shard"))).cast("long"))
-    return out.drop("cell_rows", "slices", "cell_start", "rows_all", "slice", "in_slice", "slice_start", "place")
+    whole = lambda a, b: ((a - F.pmod(a, b)) / b).cast("long")
+    placed = placed.withColumn("shard", whole(F.col("place") * shards, F.col("rows_all")).cast("int"))
+    first = whole(F.col("shard") * F.col("rows_all") + shards - 1, F.lit(shards))
+    return placed.withColumn("slot", F.col("place") - first).drop("cell_start", "rows_all", "place", "cell_place", "cell_rows")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 4) -> DataFrame:
