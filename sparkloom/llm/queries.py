@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_knn, hilbert_shards, language_id, merkle_audit, near_dup, packing, secret_scan, token_counts
+from . import block_knn, decontaminate, hilbert_shards, language_id, merkle_audit, near_dup, packing, secret_scan, token_counts
 from .common import read, table
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as an archive, against a replica that a fixed rule has damaged: some records altered, some lost."""
     ours = table(merkle_audit.archive_records(read(spark, sf_dir, "pages")))
@@ -46,7 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_merkle_fixity_audit, op4_hyperminhash_near_dup, op5_hilbert_shards, op6_best_fit_packing, op8_transducer_token_counts, op9_block_knn, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_merkle_fixity_audit, op4_hyperminhash_near_dup, op5_hilbert_shards, op6_best_fit_packing, op8_transducer_token_counts, op9_block_knn, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_merkle_fixity_audit": """

@@ -18,6 +18,8 @@ _LOWER[65:91] += 32
 _LOWER += 1  # no byte may stand for nothing
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Breaks between words that are compared without punctuation: space and ASCII characters that are no letter or digit.
+LOOSE = np.array([not chr(b).isalnum() and b < 128 for b in range(256)])
 _POWERS: list[np.ndarray] = []
 
 
@@ -47,9 +49,9 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def _segment_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in some bytes, and the place after each."""
-    edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True]))
+    edges = np.flatnonzero(np.diff(np.r_[True, breaks[data], True]))
     starts, ends = edges[::2], edges[1::2]
     up, down = powers(max(SEGMENT, len(data)) + 1)
     with np.errstate(over="ignore"):
@@ -57,7 +59,7 @@ def _segment_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), ends
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of whole texts: first text, text after the last, all their word hashes, number of words of each text."""
     first = 0
     while first < len(at) - 1:
@@ -67,21 +69,21 @@ def words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarr
             ends_at = at[first + 1 : last + 1] - at[first]
             # a word must not run on into the next text: put a break between them
             gaps = np.insert(part, ends_at[:-1], 32) if last - first > 1 else part
-            h, ends = _segment_words(gaps)
+            h, ends = _segment_words(gaps, breaks)
             bound = ends_at + np.arange(last - first)
             yield first, last, h, np.diff(np.r_[0, np.searchsorted(ends, bound, "right")])
         else:  # one text over SEGMENT
-            found, lo, stop = [], int(at[first]), int(at[last])
+            parts, lo, stop = [], int(at[first]), int(at[last])
             while lo < stop:
                 hi = min(stop, lo + SEGMENT)
                 step = SEGMENT
-                while hi < stop and not (breaks := np.flatnonzero(_SPACE[data[hi - min(step, hi - lo) : hi]])).size:
+                while hi < stop and not (found_breaks := np.flatnonzero(breaks[data[hi - min(step, hi - lo) : hi]])).size:
                     hi, step = min(stop, hi + SEGMENT), step + SEGMENT  # a word longer than a segment
                 if hi < stop:
-                    hi = hi - min(step, hi - lo) + int(breaks[-1]) + 1
-                found.append(_segment_words(data[lo:hi])[0])
+                    hi = hi - min(step, hi - lo) + int(found_breaks[-1]) + 1
+                parts.append(_segment_words(data[lo:hi], breaks)[0])
                 lo = hi
-            h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield first, last, h, np.array([len(h)])
         first = last
 
