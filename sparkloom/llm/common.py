@@ -54,8 +54,8 @@ def id_filter(ids: DataFrame, col: str, bits: int = 1 << 23) -> np.ndarray:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))")).alias("v"))
     )
     out = np.zeros(bits // 64, np.int64)
-    for r in words.collect():  # at most bits / 64 rows
-        out[r.w] = r.v
+    got = words.toArrow()  # at most bits / 64 rows
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy()
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_knn, decontaminate, hilbert_shards, language_id, merkle_audit, near_dup, packing, secret_scan, token_counts
+from . import block_knn, decontaminate, hilbert_shards, language_id, merkle_audit, near_dup, packing, repeats, secret_scan, token_counts
 from .common import read, table
 
 
@@ -38,6 +38,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_merkle_fixity_audit, op4_hyperminhash_near_dup, op5_hilbert_shards, op6_best_fit_packing, op8_transducer_token_counts, op9_block_knn, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_merkle_fixity_audit, op4_hyperminhash_near_dup, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_repeats, op8_transducer_token_counts, op9_block_knn, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_merkle_fixity_audit": """
