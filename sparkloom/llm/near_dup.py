@@ -132,13 +132,43 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
+def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a band and no component and may be links, without going through all pairs of the band.
+
+    Let x be a member and c its band's centre, s the sum of the sizes of two sets and r = (100 - percent) / (100 + percent). Two sets are linked if and only if
+    their symmetric difference has r * s elements at most. Let D(x) be what x and c differ in. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    elements, so a link needs an overlap of D(x) and D(y) of (|D(x)| + |D(y)| - r * s) / 2 at least. If x is no link of c, this is over 0 for every y; if both
+    are links of c, they are one component already. So links show in short prefixes of D(x) and D(y) in a common order (what c lacks first: edits are
+    mostly unique), joined on their elements, with the bound on what can still follow.
+    """
+    r = (100 - percent) / (100 + percent)
+    parts = members.join(first, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
+    mixed = parts.where("size > 2").groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    held = parts.join(mixed.select("band"), "band", "left_semi").join(centre, "band").select(F.col("node").alias("x"), F.col("b").alias("c"), "part").where("x != c").distinct()
+    side = lambda n, h: sets.select(F.col("node").alias(n), F.col("hashes").alias(h))
+    both = held.join(side("x", "s"), "x").join(side("c", "t"), "c")
+    both = both.select("c", "x", "part", F.size("s").alias("n"), F.size("t").alias("m"), F.array_sort(F.array_except("s", "t")).alias("added"), F.array_sort(F.array_except("t", "s")).alias("removed"))
+    d = both.withColumn("d", F.size("added") + F.size("removed"))
+    whole = F.floor(F.col("n") * (1 + 100 / percent) * r) + 1
+    near = F.when(F.col("d") <= (F.col("n") + F.col("m")) * r, F.floor(F.col("d") / 2 + F.greatest(F.lit(0), F.col("n") - F.col("m")) * r / 2) + 1).otherwise(whole)
+    d = d.withColumn("long", F.least(whole, near).cast("int")).withColumn("short", F.least(F.floor((whole - 1) / 2) + 1, near).cast("int"))
+    tokens = table(d.select("c", "x", "part", "n", "d", "short", F.posexplode(F.slice(F.concat("added", "removed"), 1, F.col("long"))).alias("at", "token")))
+    y, z = tokens.where("at < short").alias("y"), tokens.alias("z")
+    order = F.struct("y.d", "y.x") < F.struct("z.d", "z.x")
+    fit = F.least("y.n", "z.n") * 100 >= F.greatest("y.n", "z.n") * percent
+    follow = F.least(F.col("y.d") - F.col("y.at"), F.col("z.d") - F.col("z.at"))  # this element and those after it
+    need = (F.col("y.d") + F.col("z.d") - (F.col("y.n") + F.col("z.n")) * r) / 2
+    pairs = y.join(z, (F.col("y.c") == F.col("z.c")) & (F.col("y.token") == F.col("z.token")) & (F.col("y.part") != F.col("z.part")) & order & fit & (follow >= need - 1e-9))
+    return pairs.select(F.least("y.x", "z.x").alias("a"), F.greatest("y.x", "z.x").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id, kept for every row: components of the graph of links between texts.
 
     A link: 100 * intersection >= percent * union of the sets of shingles of `width` words. Equal sets are one node, so copies
     are never compared. Nodes of a band are first compared with the one of them that most other nodes share bands with (a star, not all pairs);
-    what is one component then needs no more comparisons. After that each pair of nodes that share a band but
-    no component is compared. A link at the threshold shares no band with a chance of (1 - 0.75**4)**32, about 5 in a million.
+    what is one component then needs no more comparisons. Of the other pairs that share a band those are compared
+    whose differences from that node overlap enough for a link. A link at the threshold shares no band with a chance of (1 - 0.75**4)**32, about 5 in a million.
 
     Null or empty text, or only spaces: an empty set, linked with nothing. Fewer than `width` words: the sequence as one shingle.
     Rows that share an id are documents of their own that go by that id. A null id: component null, kept false. Empty input: no rows.
@@ -156,17 +186,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = members.join(central, "node")
     centre = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("c")).select("band", (-F.col("c.minus")).alias("b"))
+    centre = table(centre)
     star = members.join(centre, "band").select(F.col("node").alias("a"), "b").where("a != b").distinct()
     sets = table(_sets(texts, central.select("node"), width))
     links = table(_links(_likely(star, nodes, percent / 100), sets, percent))
     first = table(connected_components(links))
 
-    placed = members.join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node")))
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    rest = _across(members, centre, sets, first, percent).join(links, ["a", "b"], "left_anti")
     more = table(_links(_likely(rest, nodes, percent / 100), sets, percent))
     whole = connected_components(table(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))) if not more.isEmpty() else first
 
