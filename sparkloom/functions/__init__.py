@@ -1,0 +1 @@
+"""Column functions: filters, text of values, updates, key patterns, hashing."""

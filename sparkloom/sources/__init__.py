@@ -1,0 +1 @@
+"""Tables read as collections, key-value logs, queues and logs; snapshots."""

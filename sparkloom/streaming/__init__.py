@@ -1,0 +1 @@
+"""Continuous reading of logs on Structured Streaming."""
