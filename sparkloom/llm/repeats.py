@@ -9,7 +9,9 @@ which buckets hold more than one suffix is what Spark finds out, and only suffix
    mostly share it: they are one segment, with one identifier for all its bytes.
 2. A segment alone in its anchor's bucket is done: nothing repeats. Equal segments of a bucket are counted once; if a
    bucket holds one kind only, all its suffixes repeat.
-3. Of buckets with more kinds, one segment of each kind sends the 400-byte identifiers of its suffixes.
+3. Of buckets with more kinds, one segment of each kind goes on in groups of 50 suffixes, which are refined by the 350 bytes that a
+   group has in common: again a group alone is done, equal groups count once, and a single kind repeats as a whole.
+4. Of what is left, one group of each kind sends the 400-byte identifiers of its suffixes.
 """
 
 from __future__ import annotations
@@ -152,31 +154,35 @@ def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
     spark = texts.sparkSession
     texts = texts.where(F.octet_length("text") >= LENGTH)
 
+    share = spark.sparkContext.broadcast
+    source = texts.select("tid", "text")
+
     def find(batches):
         def visit(key, at, block):
             bucket, first, last, kind, _ = segments(block)
-            n = len(first)
-            return bucket.view(np.int64), kind.view(np.int64), segment_key(key, first + at).view(np.int64), np.full(n, key), first + at, last + at
+            return bucket.view(np.int64), kind.view(np.int64), np.full(len(first), key), first + at, last + at
 
         for batch in batches:
             for parts in _segments_of(_texts(batch), visit):
-                yield _rows(parts, ["bucket", "kind", "seg", "tid", "lo", "hi"], ["i8"] * 6)
+                yield _rows(parts, ["bucket", "kind", "tid", "lo", "hi"], ["i8", "i8", "i8", "i4", "i4"])
 
-    segs = table(texts.select("tid", "text").mapInArrow(find, "bucket long, kind long, seg long, tid long, lo long, hi long"))
-    kinds = segs.groupBy("bucket", "kind").agg(F.count("*").alias("n"), F.min(F.struct("seg", "tid", "lo", "hi")).alias("one"))
-    kinds = table(kinds)
-    buckets = kinds.groupBy("bucket").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    kinds = table(kinds.join(buckets, "bucket").select("bucket", "kind", "n", "kinds", "one.*"))
-    chosen = kinds.where("kinds > 1")
+    segs = table(source.mapInArrow(find, "bucket long, kind long, tid long, lo int, hi int"))
+    kinds = table(_kinds(segs, "bucket", "kind", ["tid", "lo"]))
 
-    share = spark.sparkContext.broadcast
+    def name_segments(batches):
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                seg = mix(batch.column("tid").to_numpy().view(np.uint64) + mix(batch.column("lo").to_numpy().astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("kind"), batch.column("tid"), pa.array(seg.view(np.int64))], ["bucket", "kind", "tid", "seg"])
+
+    chosen = table(kinds.where("kinds > 1").select("bucket", "kind", "tid", "lo").mapInArrow(name_segments, "bucket long, kind long, tid long, seg long"))
     text_bits, seg_bits = share(key_filter(chosen, "tid", bits)), share(key_filter(chosen, "seg", bits))
 
     def some(batch, text_bits):
         return in_bits(text_bits.value, batch.column("tid").to_numpy().view(np.uint64))
 
     def grouped(key, at, block):
-        """Segments that were chosen, and their groups."""
+        """Groups of the chosen segments: segment, group, first and last suffix, anchor less COARSE * k; and the block's identifiers."""
         _, first, last, _, ids = segments(block)
         seg = segment_key(key, first + at)
         keep = in_bits(seg_bits.value, seg)
@@ -186,27 +192,28 @@ def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
         short = (ids[ANCHOR] & ~np.uint64((1 << 24) - 1)) | np.arange(len(ids[ANCHOR]), dtype=np.uint64)
         anchor = np.array([f + int(np.argmin(short[f : f + LENGTH - ANCHOR + 1])) for f in first])
         row, k = coarse_groups(first, last, anchor)
-        return first, last, anchor, seg, row, k, ids
+        base = anchor[row] - COARSE * k
+        return seg[row], group_key(seg[row], k), np.maximum(first[row], base - COARSE + 1), np.minimum(last[row], base), base, first[row], k, ids
 
     def coarse(batches):
         def visit(key, at, block):
             found = grouped(key, at, block)
             if found is None:
                 return None
-            _, _, anchor, seg, row, k, _ = found
-            start = anchor[row] - COARSE * k
-            core = span_identifier(prefix_sums(block), start, start + CORE)
+            seg, group, lo, hi, base, first, k, _ = found
+            sums = prefix_sums(block)
             with np.errstate(over="ignore"):
-                core = mix(core + k.astype(np.uint64) * _B)
-            return core.view(np.int64), group_key(seg[row], k).view(np.int64), np.full(len(row), key)
+                core = mix(span_identifier(sums, base, base + CORE) + k.astype(np.uint64) * _B)
+                kind = mix(span_identifier(sums, lo, hi + LENGTH) + (base - lo).astype(np.uint64) * _B)
+            return core.view(np.int64), kind.view(np.int64), group.view(np.int64), np.full(len(seg), key), seg.view(np.int64), lo - first, hi - lo
 
         for batch in batches:
             for parts in _segments_of(_texts(batch, some(batch, text_bits)), visit):
-                yield _rows(parts, ["core", "grp", "tid"], ["i8"] * 3)
+                yield _rows(parts, ["core", "span", "grp", "tid", "seg", "skip", "reach"], ["i8"] * 5 + ["i4"] * 2)
 
-    cores = table(texts.select("tid", "text").mapInArrow(coarse, "core long, grp long, tid long"))
-    shared = cores.groupBy("core").agg(F.count_distinct("grp").alias("n")).where("n > 1")
-    going = table(cores.join(shared, "core", "left_semi").select("grp", "tid"))
+    groups = table(source.mapInArrow(coarse, "core long, span long, grp long, tid long, seg long, skip int, reach int"))
+    spans = table(_kinds(groups, "core", "span", ["grp", "tid"]))
+    going = spans.where("kinds > 1")
     going_texts, going_groups = share(key_filter(going, "tid", bits)), share(key_filter(going, "grp", bits))
 
     def fine(batches):
@@ -214,29 +221,50 @@ def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
             found = grouped(key, at, block)
             if found is None:
                 return None
-            first, last, anchor, seg, row, k, ids = found
-            keep = in_bits(going_groups.value, group_key(seg[row], k))
-            row, k = row[keep], k[keep]
-            lo = np.maximum(first[row], anchor[row] - COARSE * k - COARSE + 1)
-            n = np.minimum(last[row], anchor[row] - COARSE * k) - lo + 1
-            each = np.repeat(np.arange(len(row)), n)
-            p = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + lo[each]
-            return ids[LENGTH][p].view(np.int64), seg[row[each]].view(np.int64), p + at
+            _, group, lo, hi, _, _, _, ids = found
+            keep = in_bits(going_groups.value, group)
+            group, lo, n = group[keep], lo[keep], (hi - lo + 1)[keep]
+            each = np.repeat(np.arange(len(group)), n)
+            i = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            return ids[LENGTH][lo[each] + i].view(np.int64), group[each].view(np.int64), i
 
         for batch in batches:
             for parts in _segments_of(_texts(batch, some(batch, going_texts)), visit):
-                yield _rows(parts, ["id", "seg", "p"], ["i8", "i8", "i8"])
-
-    suffixes = table(texts.select("tid", "text").mapInArrow(fine, "id long, seg long, p long"))
-    twice = suffixes.groupBy("id").agg(F.min(F.struct("seg", "p")).alias("x"), F.max(F.struct("seg", "p")).alias("y")).where("x != y").select("id")
-    partly = suffixes.join(twice, "id", "left_semi").groupBy("seg").agg(F.min("p").alias("from"), F.max("p").alias("to"))
-    known = kinds.join(partly, "seg", "left").select(
-        "bucket", "kind", F.when(F.col("n") > 1, 0).otherwise(F.col("from") - F.col("lo")).alias("skip"), F.when(F.col("n") > 1, F.col("hi") - F.col("lo")).otherwise(F.col("to") - F.col("lo")).alias("reach")
-    )
-    cover = segs.join(known.where("skip is not null"), ["bucket", "kind"]).select("tid", (F.col("lo") + F.col("skip")).alias("start"), (F.col("lo") + F.col("reach") + LENGTH).alias("end"))
+                yield _rows(parts, ["id", "grp", "i"], ["i8", "i8", "i4"])
+
+    suffixes = table(source.mapInArrow(fine, "id long, grp long, i int"))
+    # texts may come as several equal rows: a suffix is another one only if it is in another group, or at another place
+    twice = suffixes.groupBy("id").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.min("i").alias("i"), F.max("i").alias("j")).where("g != h OR i != j").select("id")
+    ends = suffixes.join(twice, "id", "left_semi").groupBy("grp").agg(F.min("i").alias("from"), F.max("i").alias("to"))
+
+    # back: from suffixes to groups, to segments, to texts
+    known = spans.join(ends, "grp", "left").select("core", "span", F.when(F.col("n") > 1, 0).otherwise(F.col("from")).alias("from"), F.when(F.col("n") == 1, F.col("to")).alias("to")).where("from is not null")
+    by_segment = groups.join(known, ["core", "span"]).groupBy("seg").agg(F.min(F.col("skip") + F.col("from")).alias("skip"), F.max(F.col("skip") + F.coalesce("to", "reach")).alias("reach"))
+    partly = chosen.join(by_segment, "seg").select("bucket", "kind", "skip", "reach")
+    covered = kinds.join(partly, ["bucket", "kind"], "left").where("n > 1 OR skip is not null")
+    covered = table(covered.select("bucket", "kind", F.when(F.col("n") > 1, 0).otherwise(F.col("skip")).alias("skip"), F.when(F.col("n") == 1, F.col("reach")).alias("reach")))
+    bucket_bits = share(key_filter(covered, "bucket", bits))
+
+    @F.arrow_udf("boolean")
+    def may_repeat(bucket: pa.Array) -> pa.Array:
+        return pa.array(in_bits(bucket_bits.value, bucket.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    cover = segs.where(may_repeat("bucket")).join(covered, ["bucket", "kind"])
+    cover = cover.select("tid", (F.col("lo") + F.col("skip")).alias("start"), (F.coalesce(F.col("lo") + F.col("reach"), F.col("hi")) + LENGTH).alias("end"))
     return cover.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
+def _kinds(rows: DataFrame, bucket: str, kind: str, one: list[str]) -> DataFrame:
+    """Of buckets with more than one row: each kind with n, its rows, kinds, the kinds of its bucket, and the columns `one` of one of its rows.
+
+    Rows of a kind are counted before the shuffle, so a bucket with very many equal rows is a few partial counts.
+    """
+    pick, rest = one
+    counted = rows.groupBy(bucket, kind).agg(F.count("*").alias("n"), F.min(pick).alias(pick), F.min_by(rest, pick).alias(rest))
+    buckets = counted.groupBy(bucket).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    return counted.join(buckets, bucket).select(bucket, kind, "n", "kinds", pick, rest)
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
