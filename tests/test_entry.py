@@ -1,5 +1,7 @@
 """The driver contract: every query beside its SQL."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +22,7 @@ def db():
 
 
 def rows(frame):
-    text = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) else str(v)
+    text = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, numbers.Number) else str(v)
     return sorted(tuple(text(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
