@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment tells copies from chance.
 
 Texts and test items are words without punctuation or case. An n-gram of an item is a seed if it is rare in the corpus
-next to the item's other n-grams: so an item that leaked into many documents, whose n-grams are all frequent, keeps its
-seeds, and a phrase of the language loses them. Windows of documents around seeds are aligned with the item.
+next to the item's other n-grams. Only documents that hold it without another n-gram of the item count: so a phrase of the
+language is frequent, and a passage that leaked into many documents, whole, edited or in part, doesn't make its own n-grams
+frequent; one that is rare next to the others over all documents stays a seed, too. N-grams that occur nowhere don't tell what is usual. Windows of documents around seeds are aligned with the item.
 """
 
 from __future__ import annotations
@@ -123,14 +124,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     def count(batches):
         for batch in batches:
-            found = [g[in_bloom(all_bits.value, g)] for g in map(ngrams, word_lists(batch.column("text")))]
-            g, n = np.unique(np.concatenate([np.unique(x) for x in found] or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "docs"])
-
-    seen = texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    ranked = grams.join(seen, "gram", "left").select("item", "size", "place", "gram", F.coalesce("docs", F.lit(0)).alias("docs"))
-    usual = F.percentile("docs", F.lit(0.25)).over(Window.partitionBy("item"))
-    seeds = ranked.withColumn("usual", usual).where(F.col("docs") <= F.col("usual") * RARE_TIMES + RARE_MORE)
+            sets: dict[bytes, int] = {}
+            for g in map(ngrams, word_lists(batch.column("text"))):
+                key = np.unique(g[in_bloom(all_bits.value, g)]).tobytes()
+                sets[key] = sets.get(key, 0) + 1
+            sets.pop(b"", None)
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, np.int64) for x in sets], pa.list_(pa.int64())), pa.array(list(sets.values()), pa.int64())], ["grams", "docs"])
+
+    sets = table(texts.select("text").mapInArrow(count, "grams array<long>, docs long").groupBy("grams").agg(F.sum("docs").alias("docs")))
+    members = sets.withColumn("set", F.monotonically_increasing_id()).select("set", "docs", F.explode("grams").alias("gram"))
+    held = members.join(grams.select("item", "gram").distinct(), "gram").groupBy("set", "item").agg(F.collect_list("gram").alias("held"), F.first("docs").alias("docs"))
+    alone = F.when(F.size("held") == 1, F.col("docs")).otherwise(0)
+    seen = held.select("item", "docs", alone.alias("alone"), F.explode("held").alias("gram")).groupBy("item", "gram").agg(F.sum("docs").alias("docs"), F.sum("alone").alias("alone"))
+    ranked = grams.join(seen, ["item", "gram"], "left").select("item", "size", "place", "gram", "docs", "alone")  # null where no document holds it
+    rare = lambda c: F.col(c) <= F.percentile(c, F.lit(0.25)).over(Window.partitionBy("item")) * RARE_TIMES + RARE_MORE
+    seeds = ranked.withColumn("rare", rare("alone") | rare("docs")).where("docs is null or rare")
     seeds = table(seeds.withColumn("own", F.size(F.collect_set("gram").over(Window.partitionBy("item")))).select("item", "size", "place", "gram", "own"))
     seed_bits = bits_of(seeds)
 

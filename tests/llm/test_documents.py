@@ -98,6 +98,16 @@ def test_leak_in_every_document_is_found(spark, make):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, 1) for d in range(80)}
 
 
+def test_edited_or_partial_copy_in_many_documents_is_found(spark, make):
+    items = [(1, prose(9081, 33)), (2, prose(9082, 40)), (3, prose(9083, 30))]
+    edited = " ".join("edited" if k % 11 == 5 else w for k, w in enumerate(items[0][1].split()))
+    part = " ".join(items[1][1].split()[:24])
+    phrase = " ".join(items[2][1].split()[:3])
+    docs = [(d, prose(d, 20) + f" {(edited, part)[d % 2]} " + prose(d + 500, 20)) for d in range(200)] + [(d, prose(d, 60) + " " + phrase) for d in range(1000, 1040)]
+    got = decontaminate.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, 1 + d % 2) for d in range(200)}
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(2)
     for _ in range(30):
