@@ -397,6 +397,14 @@ def test_entropy_adds_and_allow_list_suppresses(make):
     assert got[4] == f"assign:0:{6 + len(key)}"
 
 
+def test_keys_of_small_alphabets_are_found(make):
+    keys = ["9F3A07C5D18BE264F0A7", "k3v9x0q7m2t8z5w1b6r4n8j2", "K3VNX7QZM2T5ZGWLB6R4YHJ2"]
+    docs = [(i, f"see {k} there") for i, k in enumerate(keys)] + [(7, "unquestionablyunremarkableword INTERNATIONALISATIONUNDERWAY")]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_digest(make(docs)).collect()}
+    assert got == {i: f"entropy:4:{4 + len(k)}" for i, k in enumerate(keys)} | {7: ""}
+    assert {r.text for r in secret_scan.redact(make(docs[:3])).collect()} == {"see [REDACTED] there"}
+
+
 def test_redaction(make):
     docs = [(1, "é token = abcdef123456 end"), (2, "clean text"), (3, None), (4, "AKIA" + "A" * 16 + "0123456789abcdef" * 2)]
     got = {r.doc_id: r.text for r in secret_scan.redact(make(docs)).collect()}
