@@ -39,7 +39,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    """Beside the digest columns, text: what is left of the text; a character that a cut divides becomes U+FFFD."""
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op8_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

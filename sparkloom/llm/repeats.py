@@ -1,17 +1,17 @@
 """Removal of repeated byte strings, by bucket-pointer refinement of suffixes.
 
 Suffixes of all texts fall into buckets by their first 25 bytes. A bucket is refined by the bucket identifiers at later
-offsets: the identifier for 50 bytes comes from those for 25 at the suffix and at 25 bytes after it, and so on by doubling, 25 * 2**4 =
-400. Identifiers are hashes of the content, so every task computes the same ones and none has to see the others' text;
-which buckets hold more than one suffix is what Spark finds out, and only suffixes in such buckets go on:
+offsets: the identifier for 50 bytes comes from those for 25 at the suffix and at 25 bytes after it. Bucket identifiers only say where
+to look: they are hashes of the content, so every task computes the same ones without seeing the others' text. Whether two strings are
+equal is decided by their 128-bit BLAKE2b digests. Spark finds out which buckets hold more than one suffix, and only suffixes in such buckets go on:
 
 1. Each suffix of 400 bytes is filed under the least of the 50-byte identifiers in it (its anchor). Neighbouring suffixes
-   mostly share it: they are one segment, with one identifier for all its bytes.
+   mostly share it: they are one segment, with one digest for all its bytes.
 2. A segment alone in its anchor's bucket is done: nothing repeats. Equal segments of a bucket are counted once; if a
    bucket holds one kind only, all its suffixes repeat.
 3. Of buckets with more kinds, one segment of each kind goes on in groups of 50 suffixes, which are refined by the 350 bytes that a
    group has in common: again a group alone is done, equal groups count once, and a single kind repeats as a whole.
-4. Of what is left, one group of each kind sends the 400-byte identifiers of its suffixes.
+4. Of what is left, one group of each kind sends the digests of the 400 bytes of its suffixes.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .common import passes, table
 from .shingles import mix, powers, utf8
 
-FIRST, DOUBLINGS, ANCHOR_DOUBLINGS = 25, 4, 1
-LENGTH = FIRST << DOUBLINGS
-ANCHOR = FIRST << ANCHOR_DOUBLINGS
+FIRST, DOUBLINGS = 25, 1
+LENGTH = 400
+ANCHOR = FIRST << DOUBLINGS
 BLOCK = 1 << 20  # suffixes handled at once
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+TEXT = ("ta", "tb")  # the 128 bits that name a text
 
 
 def identifiers(data: np.ndarray, doublings: int = DOUBLINGS) -> dict[int, np.ndarray]:
@@ -48,10 +49,12 @@ def identifiers(data: np.ndarray, doublings: int = DOUBLINGS) -> dict[int, np.nd
     return out
 
 
-def span_identifier(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    down = powers(BLOCK + LENGTH + 1)[1]
-    with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _A)
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digests of data[start:end] as two arrays of int64."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    found = b"".join([hashed(view[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,31 +72,27 @@ def blocks(data: np.ndarray):
         yield at, data[at : at + BLOCK + LENGTH - 1]
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """anchor identifier, first suffix, last suffix, identifier of all its bytes, for each segment of a block."""
-    ids = identifiers(data)
-    short = ids[ANCHOR]
+def anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bucket (the anchor's identifier), first suffix, last suffix and place of the anchor, for each segment of a block."""
+    short = identifiers(data)[ANCHOR]
     # the least identifier, its leftmost place at ties: 40 bits of the identifier above 24 bits of the place
     key = (short & ~np.uint64((1 << 24) - 1)) | np.arange(len(short), dtype=np.uint64)
     least = sliding_least(key, LENGTH - ANCHOR + 1)
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     last = np.r_[first[1:], len(least)] - 1
     anchor = (least[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return short[anchor], first, last, span_identifier(prefix_sums(data), first, last + LENGTH), ids
+    return short[anchor], first, last, anchor
 
 
 COARSE = 50  # suffixes that start within so many bytes before the same multiple of it from the anchor are refined together
 CORE = LENGTH - COARSE
 
 
-def segment_key(text_key: int, first: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(np.uint64(text_key & (2**64 - 1)) + mix(first.astype(np.uint64)))
-
-
-def group_key(segment: np.uint64, k: np.ndarray) -> np.ndarray:
+def place_key(ta, tb, start) -> np.ndarray:
+    """A hash of a place in a text, for bitmaps only."""
+    as_unsigned = lambda x: np.asarray(x).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        return mix(segment + k.astype(np.uint64) * _B)
+        return mix(as_unsigned(ta) + mix(as_unsigned(tb) + mix(as_unsigned(start) + _B)))
 
 
 def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -124,7 +123,7 @@ def _segments_of(texts, visit, batch_rows: int = 16384):
         for at, block in blocks(data):
             got = visit(key, at, block)
             if got is not None and len(got[0]):
-                parts.append(got)
+                parts.append((*(np.full(len(got[0]), k) for k in key), *got))
                 size += len(got[0])
                 if size >= batch_rows:
                     yield parts
@@ -135,160 +134,165 @@ def _segments_of(texts, visit, batch_rows: int = 16384):
 
 def _texts(batch: pa.RecordBatch, keep: np.ndarray | None = None):
     data, at = utf8(batch.column("text"))
-    keys = batch.column("tid").to_pylist()
+    keys = list(zip(*(batch.column(c).to_pylist() for c in TEXT)))
     for i in range(len(batch)) if keep is None else np.flatnonzero(keep).tolist():
         yield keys[i], data[at[i] : at[i + 1]]
 
 
-def _rows(parts, names, kinds):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*parts), kinds)], names)
+def _rows(parts, schema: str) -> pa.RecordBatch:
+    """A batch of the columns of a schema of longs and ints."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8" if kind == "long" else "i4")) for c, (_, kind) in zip(zip(*parts), fields)], [name for name, _ in fields])
 
 
 def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """tid, spans: for texts (tid a 64-bit key of the text, text) the sorted byte spans that strings of LENGTH bytes cover which
+    """ta, tb, spans: for texts (ta, tb name the text; text) the sorted byte spans that strings of LENGTH bytes cover which
     start anywhere else too. Texts without any are left out.
 
     bits: the size of the bitmaps that tell tasks which texts, segments and groups go on, fixed whatever the input; a false
-    positive only sends identifiers that turn out not to repeat.
+    positive only sends digests that turn out not to repeat.
     """
-    spark = texts.sparkSession
-    texts = texts.where(F.octet_length("text") >= LENGTH)
+    share = texts.sparkSession.sparkContext.broadcast
+    source = texts.where(F.octet_length("text") >= LENGTH).select(*TEXT, "text")
 
-    share = spark.sparkContext.broadcast
-    source = texts.select("tid", "text")
+    segment = "ta long, tb long, bucket long, ka long, kb long, lo int, hi int"
 
     def find(batches):
         def visit(key, at, block):
-            bucket, first, last, kind, _ = segments(block)
-            return bucket.view(np.int64), kind.view(np.int64), np.full(len(first), key), first + at, last + at
+            bucket, first, last, _ = anchored(block)
+            return bucket.view(np.int64), *digests(block, first, last + LENGTH), first + at, last + at
 
         for batch in batches:
             for parts in _segments_of(_texts(batch), visit):
-                yield _rows(parts, ["bucket", "kind", "tid", "lo", "hi"], ["i8", "i8", "i8", "i4", "i4"])
+                yield _rows(parts, segment)
 
-    segs = table(source.mapInArrow(find, "bucket long, kind long, tid long, lo int, hi int"))
-    kinds = table(_kinds(segs, "bucket", "kind", ["tid", "lo"]))
+    segs = table(source.mapInArrow(find, segment))
+    kinds = table(_kinds(segs, ["bucket"], ["ka", "kb"], ["ta", "tb", "lo"]))
 
-    def name_segments(batches):
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                seg = mix(batch.column("tid").to_numpy().view(np.uint64) + mix(batch.column("lo").to_numpy().astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("kind"), batch.column("tid"), pa.array(seg.view(np.int64))], ["bucket", "kind", "tid", "seg"])
+    def bitmap(df: DataFrame, start: str | None = None) -> "Broadcast":  # noqa: F821
+        """Of the texts of some rows, or of places in them."""
+
+        def hashed(batches):
+            for batch in batches:
+                a, b = (batch.column(c).to_numpy() for c in TEXT)
+                yield pa.RecordBatch.from_arrays([pa.array(place_key(a, b, batch.column("start").to_numpy()).view(np.int64))], ["h"])
+
+        places = df.select(*TEXT, (F.lit(-1) if start is None else F.col(start)).alias("start"))
+        return share(key_filter(places.distinct().mapInArrow(hashed, "h long"), "h", bits))
 
-    chosen = table(kinds.where("kinds > 1").select("bucket", "kind", "tid", "lo").mapInArrow(name_segments, "bucket long, kind long, tid long, seg long"))
-    text_bits, seg_bits = share(key_filter(chosen, "tid", bits)), share(key_filter(chosen, "seg", bits))
+    chosen = table(kinds.where("kinds > 1").select("bucket", "ka", "kb", *TEXT, F.col("lo").alias("seg")))
+    chosen_texts, chosen_segs = bitmap(chosen), bitmap(chosen, "seg")
 
-    def some(batch, text_bits):
-        return in_bits(text_bits.value, batch.column("tid").to_numpy().view(np.uint64))
+    def some(batch, chosen_texts):
+        a, b = (batch.column(c).to_numpy() for c in TEXT)
+        return in_bits(chosen_texts.value, place_key(a, b, np.full(len(batch), -1)))
 
     def grouped(key, at, block):
-        """Groups of the chosen segments: segment, group, first and last suffix, anchor less COARSE * k; and the block's identifiers."""
-        _, first, last, _, ids = segments(block)
-        seg = segment_key(key, first + at)
-        keep = in_bits(seg_bits.value, seg)
+        """Groups of the chosen segments: segment, first and last suffix, anchor less COARSE * k, k."""
+        _, first, last, anchor = anchored(block)
+        keep = in_bits(chosen_segs.value, place_key(*key, first + at))
         if not keep.any():
             return None
-        first, last, seg = first[keep], last[keep], seg[keep]
-        short = (ids[ANCHOR] & ~np.uint64((1 << 24) - 1)) | np.arange(len(ids[ANCHOR]), dtype=np.uint64)
-        anchor = np.array([f + int(np.argmin(short[f : f + LENGTH - ANCHOR + 1])) for f in first])
+        first, last, anchor = first[keep], last[keep], anchor[keep]
         row, k = coarse_groups(first, last, anchor)
         base = anchor[row] - COARSE * k
-        return seg[row], group_key(seg[row], k), np.maximum(first[row], base - COARSE + 1), np.minimum(last[row], base), base, first[row], k, ids
+        return first[row], np.maximum(first[row], base - COARSE + 1), np.minimum(last[row], base), base, k
+
+    # a group is named by its text and its first suffix
+    group = "ta long, tb long, ca long, cb long, sa long, sb long, seg int, lo int, hi int, k int, before int"
 
     def coarse(batches):
         def visit(key, at, block):
             found = grouped(key, at, block)
             if found is None:
                 return None
-            seg, group, lo, hi, base, first, k, _ = found
-            sums = prefix_sums(block)
-            with np.errstate(over="ignore"):
-                core = mix(span_identifier(sums, base, base + CORE) + k.astype(np.uint64) * _B)
-                kind = mix(span_identifier(sums, lo, hi + LENGTH) + (base - lo).astype(np.uint64) * _B)
-            return core.view(np.int64), kind.view(np.int64), group.view(np.int64), np.full(len(seg), key), seg.view(np.int64), lo - first, hi - lo
+            seg, lo, hi, base, k = found
+            # groups are compared with those at the same distance from the anchor, and of the same reach before the core
+            return *digests(block, base, base + CORE), *digests(block, lo, hi + LENGTH), seg + at, lo + at, hi + at, k, base - lo
 
         for batch in batches:
-            for parts in _segments_of(_texts(batch, some(batch, text_bits)), visit):
-                yield _rows(parts, ["core", "span", "grp", "tid", "seg", "skip", "reach"], ["i8"] * 5 + ["i4"] * 2)
+            for parts in _segments_of(_texts(batch, some(batch, chosen_texts)), visit):
+                yield _rows(parts, group)
+
+    core, span = ["ca", "cb", "k"], ["sa", "sb", "before"]
+    groups = table(source.mapInArrow(coarse, group))
+    spans = table(_kinds(groups, core, span, ["ta", "tb", "lo"]))
+    going = table(spans.where("kinds > 1").select(*TEXT, "lo").distinct())
+    going_texts, going_groups = bitmap(going), bitmap(going, "lo")
 
-    groups = table(source.mapInArrow(coarse, "core long, span long, grp long, tid long, seg long, skip int, reach int"))
-    spans = table(_kinds(groups, "core", "span", ["grp", "tid"]))
-    going = spans.where("kinds > 1")
-    going_texts, going_groups = share(key_filter(going, "tid", bits)), share(key_filter(going, "grp", bits))
+    suffix = "ta long, tb long, da long, db long, lo int, i int"
 
     def fine(batches):
         def visit(key, at, block):
             found = grouped(key, at, block)
             if found is None:
                 return None
-            _, group, lo, hi, _, _, _, ids = found
-            keep = in_bits(going_groups.value, group)
-            group, lo, n = group[keep], lo[keep], (hi - lo + 1)[keep]
-            each = np.repeat(np.arange(len(group)), n)
+            _, lo, hi, _, _ = found
+            keep = in_bits(going_groups.value, place_key(*key, lo + at))
+            lo, n = lo[keep], (hi - lo + 1)[keep]
+            each = np.repeat(np.arange(len(lo)), n)
             i = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            return ids[LENGTH][lo[each] + i].view(np.int64), group[each].view(np.int64), i
+            start = lo[each] + i
+            return *digests(block, start, start + LENGTH), lo[each] + at, i
 
         for batch in batches:
             for parts in _segments_of(_texts(batch, some(batch, going_texts)), visit):
-                yield _rows(parts, ["id", "grp", "i"], ["i8", "i8", "i4"])
+                yield _rows(parts, suffix)
 
-    suffixes = table(source.mapInArrow(fine, "id long, grp long, i int"))
-    # texts may come as several equal rows: a suffix is another one only if it is in another group, or at another place
-    twice = suffixes.groupBy("id").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.min("i").alias("i"), F.max("i").alias("j")).where("g != h OR i != j").select("id")
-    ends = suffixes.join(twice, "id", "left_semi").groupBy("grp").agg(F.min("i").alias("from"), F.max("i").alias("to"))
+    suffixes = table(source.mapInArrow(fine, suffix))
+    # texts may come as several equal rows: a suffix is another one only if it is in another text, or at another place
+    least, most = (lambda c: F.min(c).alias(f"{c}0")), (lambda c: F.max(c).alias(f"{c}1"))
+    place = suffixes.select(*TEXT, "da", "db", (F.col("lo") + F.col("i")).alias("p"))
+    twice = place.groupBy("da", "db").agg(*(f(c) for f in (least, most) for c in ("ta", "tb", "p"))).where("ta0 != ta1 OR tb0 != tb1 OR p0 != p1").select("da", "db")
+    ends = suffixes.join(twice, ["da", "db"], "left_semi").groupBy(*TEXT, "lo").agg(F.min("i").alias("from"), F.max("i").alias("to"))
 
     # back: from suffixes to groups, to segments, to texts
-    known = spans.join(ends, "grp", "left").select("core", "span", F.when(F.col("n") > 1, 0).otherwise(F.col("from")).alias("from"), F.when(F.col("n") == 1, F.col("to")).alias("to")).where("from is not null")
-    by_segment = groups.join(known, ["core", "span"]).groupBy("seg").agg(F.min(F.col("skip") + F.col("from")).alias("skip"), F.max(F.col("skip") + F.coalesce("to", "reach")).alias("reach"))
-    partly = chosen.join(by_segment, "seg").select("bucket", "kind", "skip", "reach")
-    covered = kinds.join(partly, ["bucket", "kind"], "left").where("n > 1 OR skip is not null")
-    covered = table(covered.select("bucket", "kind", F.when(F.col("n") > 1, 0).otherwise(F.col("skip")).alias("skip"), F.when(F.col("n") == 1, F.col("reach")).alias("reach")))
+    known = spans.join(ends, [*TEXT, "lo"], "left").select(*core, *span, F.when(F.col("n") > 1, 0).otherwise(F.col("from")).alias("from"), F.when(F.col("n") == 1, F.col("to")).alias("to")).where("from is not null")
+    skip, reach = F.col("lo") - F.col("seg") + F.col("from"), F.col("lo") - F.col("seg") + F.coalesce(F.col("to"), F.col("hi") - F.col("lo"))
+    by_segment = groups.join(known, [*core, *span]).groupBy(*TEXT, "seg").agg(F.min(skip).alias("skip"), F.max(reach).alias("reach"))
+    partly = chosen.join(by_segment, [*TEXT, "seg"]).select("bucket", "ka", "kb", "skip", "reach")
+    covered = kinds.join(partly, ["bucket", "ka", "kb"], "left").where("n > 1 OR skip is not null")
+    covered = table(covered.select("bucket", "ka", "kb", F.when(F.col("n") > 1, 0).otherwise(F.col("skip")).alias("skip"), F.when(F.col("n") == 1, F.col("reach")).alias("reach")))
     bucket_bits = share(key_filter(covered, "bucket", bits))
 
     @F.arrow_udf("boolean")
     def may_repeat(bucket: pa.Array) -> pa.Array:
         return pa.array(in_bits(bucket_bits.value, bucket.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    cover = segs.where(may_repeat("bucket")).join(covered, ["bucket", "kind"])
-    cover = cover.select("tid", (F.col("lo") + F.col("skip")).alias("start"), (F.coalesce(F.col("lo") + F.col("reach"), F.col("hi")) + LENGTH).alias("end"))
-    return cover.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    cover = segs.where(may_repeat("bucket")).join(covered, ["bucket", "ka", "kb"])
+    cover = cover.select(*TEXT, (F.col("lo") + F.col("skip")).alias("start"), (F.coalesce(F.col("lo") + F.col("reach"), F.col("hi")) + LENGTH).alias("end"))
+    return cover.groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def _kinds(rows: DataFrame, bucket: str, kind: str, one: list[str]) -> DataFrame:
-    """Of buckets with more than one row: each kind with n, its rows, kinds, the kinds of its bucket, and the columns `one` of one of its rows.
+def _kinds(rows: DataFrame, bucket: list[str], kind: list[str], place: list[str]) -> DataFrame:
+    """Of buckets with more than one row: each kind with n, its rows, kinds, the kinds of its bucket, and the text and place of one of its rows.
 
     Rows of a kind are counted before the shuffle, so a bucket with very many equal rows is a few partial counts.
     """
-    pick, rest = one
-    counted = rows.groupBy(bucket, kind).agg(F.count("*").alias("n"), F.min(pick).alias(pick), F.min_by(rest, pick).alias(rest))
-    buckets = counted.groupBy(bucket).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    return counted.join(buckets, bucket).select(bucket, kind, "n", "kinds", pick, rest)
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BLOCK + LENGTH + 1)[0][: len(data)], out=out[1:])
-    return out
+    pick = F.xxhash64(*place)  # all rows of a kind are equal, so any of them will do
+    counted = rows.groupBy(*bucket, *kind).agg(F.count("*").alias("n"), *(F.min_by(c, pick).alias(c) for c in place))
+    buckets = counted.groupBy(*bucket).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    return counted.join(buckets, bucket).select(*bucket, *kind, "n", "kinds", *place)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain; null if all do) for every row.
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) for every row.
 
     Every byte goes that is covered by a string of LENGTH bytes which starts anywhere else too, in the same text or another;
     overlaps count, and all strings are judged on the input. Null or empty text: no bytes. Texts under LENGTH bytes keep
-    all. Repeated rows are copies of each other, so they go if they are long enough. Empty input: no rows.
+    all. Repeated rows are copies of each other, so they go if they are long enough. Empty input: no rows. Strings are equal if
+    their 128-bit BLAKE2b digests are; a text is named by two xxHash64 with different seeds.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tid"))
-    cover = table(repeated_spans(rows.select("tid", "text")))
-    covered = docs.sparkSession.sparkContext.broadcast(key_filter(cover, "tid", 1 << 23))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(7), text).alias("tb"))
+    cover = table(repeated_spans(rows.select(*TEXT, "text")))
+    covered = docs.sparkSession.sparkContext.broadcast(key_filter(cover, "ta", 1 << 23))
 
     @F.arrow_udf("boolean")
-    def may_be_covered(tid: pa.Array) -> pa.Array:
-        return pa.array(in_bits(covered.value, tid.to_numpy(zero_copy_only=False).view(np.uint64)))
+    def may_be_covered(ta: pa.Array) -> pa.Array:
+        return pa.array(in_bits(covered.value, ta.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    flagged = rows.withColumn("flag", may_be_covered("tid"))
+    flagged = rows.withColumn("flag", may_be_covered("ta"))
 
     def cut(batches):
         for batch in batches:
@@ -309,8 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(i + 1 - len(out), len(out)), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
                     out = []
 
-    some = flagged.where("flag").select("id", "tid", "text").join(cover, "tid", "left").select("id", "text", "spans")
+    some = flagged.where("flag").select("id", *TEXT, "text").join(cover, list(TEXT), "left").select("id", "text", "spans")
     some = some.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     none = F.lit(0).cast("long")
-    rest = flagged.where("not flag").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    rest = flagged.where("not flag").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
     return some.unionByName(rest).withColumnRenamed("id", id_col)

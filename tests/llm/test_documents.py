@@ -305,17 +305,30 @@ def test_long_texts_are_read_in_blocks(make, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 1000)
     text = prose(4, 900)
     data = np.frombuffer((text + prose(5, 100) + text).encode(), np.uint8)
-    firsts = [(at, repeats.segments(b)) for at, b in repeats.blocks(data)]
-    n = sum(int((last - first + 1).sum()) for _, (_, first, last, _, _) in firsts)
+    firsts = [(at, repeats.anchored(b)) for at, b in repeats.blocks(data)]
+    n = sum(int((last - first + 1).sum()) for _, (_, first, last, _) in firsts)
     assert n == len(data) - 399  # every suffix is in one segment of one block
 
 
 def test_identifiers_come_from_later_offsets():
     data = np.frombuffer(b"abc" * 400, np.uint8)
-    ids = repeats.identifiers(data)[400]
+    ids = repeats.identifiers(data, 4)[400]
     assert ids[0] == ids[3] and ids[0] != ids[1]
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Texts that polynomial hashes modulo a power of two don't tell apart."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_repeats_are_told_apart_by_their_bytes(make):
+    docs = [(i, prose(i, 5) + thue_morse(1024, *x) + prose(20 + i, 5)) for i, x in enumerate(["ab", "ba", "ae", "ea"])] + [(9, "é" * 300 + "x"), (10, "é" * 300 + "y")]
+    got = repeats.remove_repeats(make(docs))
+    want = Counter((i, *w) for (i, _), w in zip(docs, brute_repeats([t for _, t in docs])))
+    assert Counter(tuple(r) for r in got.drop("kept").collect()) == want
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.collect())
+
+
 # 8 token counts
 
 
