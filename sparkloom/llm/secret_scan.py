@@ -6,6 +6,7 @@ between the matches (split) and the matches themselves (regexp_extract_all) have
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,28 +35,48 @@ WINDOW = 20
 # Candidates that hold one of these are placeholders, not secrets.
 ALLOWED = r"(?i)example|placeholder|changeme|your[_-]?key|x{6}|0{8}|0123456789|abcdefghij|deadbeef"
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SPAN = "struct<start:int,kind:int,end:int>"
+HIT = "struct<start:int,kind:int,end:int,hit:string>"
+BLOCK = 128
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once, even if functions of array elements refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, zero: Column, op) -> Column:
+    """For each value of an array, op over all values before it (zero for the first).
+
+    n values in blocks of BLOCK: op over each block, over the blocks before, then over what is before in the block. That is
+    n * BLOCK / 2 + (n / BLOCK) ** 2 / 2 steps; an aggregate that carries the array along would copy it n times.
+    """
+
+    def spread(blocks, totals):
+        start = lambda b: F.aggregate(F.slice(totals, F.lit(1), b), zero, op)
+        inside = lambda x, s: F.transform(x, lambda y, i: F.aggregate(F.slice(x, F.lit(1), i), s, op))
+        return F.flatten(F.transform(blocks, lambda x, b: bound(start(b), lambda s: inside(x, s))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) + BLOCK - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    of_blocks = lambda blocks: bound(F.transform(blocks, lambda x: F.aggregate(x, zero, op)), lambda totals: spread(blocks, totals))
+    return bound(values, lambda v: bound(cut(v), of_blocks))
 
 
 def match_spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches; keep(matched) filters them afterwards."""
-    p = F.lit(pattern)
+    """array<struct<start, kind, end, hit>> of the leftmost non-overlapping matches; keep(matched) filters them afterwards."""
     found = F.transform(
-        F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit")),
+        F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), x["hit"].alias("hit")),
     )
     found = F.filter(found, lambda x: x["hit"].isNotNull())  # the text after the last match has none
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,hit:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def place(x, at):
+        begin = at + x["gap"]
+        return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["size"]).alias("end"), x["hit"].alias("hit"))
 
-    spans = F.aggregate(found, start, step, lambda acc: acc["out"])
+    spans = bound(found, lambda f: F.zip_with(f, before(F.transform(f, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, n: a + n), place))
     spans = F.filter(spans, lambda s: keep(s["hit"])) if keep else spans
-    return F.when(text.rlike(pattern), spans).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,hit:string>>"))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def assigned(hit: Column) -> Column:
@@ -64,29 +85,33 @@ def assigned(hit: Column) -> Column:
 
 
 def window_entropy(run: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of any window of the run.
+    """The largest Shannon entropy, in bits a character, of any window of the run; 0 if it is shorter than a window.
 
     One pass: a character that enters and one that leaves change two counts, and the sum of c * log2(c) over the
-    counts changes by their terms only.
+    counts changes by their terms only. The counts are a text with one character for each of the alphabet, whose code is the count.
     """
-    places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    places = F.filter(places, lambda p: p >= 0)
-    size = F.array_size(places)
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
-
-    def step(acc, i):
-        enters, leaves = F.get(places, i), F.get(places, i - window)  # leaves is null until the window is full
-        c_in = F.get(acc["counts"], enters)
-        same = F.coalesce(enters == leaves, F.lit(False))
-        c_out = F.coalesce(F.get(acc["counts"], leaves), F.lit(0))
-        new = F.when(same, acc["sum"]).otherwise(acc["sum"] - term(c_in) + term(c_in + 1) - term(c_out) + term(c_out - 1))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), new.alias("sum"), F.when(i >= window - 1, F.least(acc["least"], new)).otherwise(acc["least"]).alias("least"))
-
-    least = F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda acc: acc["least"])
-    full = F.log2(F.lit(float(window)))
-    return F.when(size >= window, full - least / window).otherwise(F.lit(0.0))
+    places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c))
+    places = F.filter(places, lambda p: p > 0)
+    # (enters, leaves): leaves is null until the window is full
+    steps = bound(places, lambda p: F.slice(F.arrays_zip(p.alias("enters"), F.concat(F.array_repeat(F.lit(None).cast("int"), window), p).alias("leaves")), F.lit(1), F.greatest(F.size(p), F.lit(0))))
+    zero = 32  # counts are printable characters
+    terms = F.array(F.lit(0.0), *(F.lit(c * math.log2(c)) for c in range(1, window + 2)))
+    term = lambda c: F.get(terms, c)
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - zero
+    put = lambda counts, at, c: F.overlay(counts, F.char(c + zero), at, F.lit(1))
+    start = F.struct(F.lit(chr(zero) * len(alphabet)).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("seen"), F.lit(float("inf")).alias("least"))
+
+    def step(acc, x):
+        c_in, c_out = count(acc["counts"], x["enters"]), count(acc["counts"], x["leaves"])
+        grown = acc["sum"] - term(c_in) + term(c_in + 1)
+        moved = F.when(x["leaves"].isNull(), grown).when(x["leaves"] == x["enters"], acc["sum"]).otherwise(grown - term(c_out) + term(c_out - 1))
+        added = put(acc["counts"], x["enters"], c_in + 1)
+        counts = F.when(x["leaves"].isNull(), added).when(x["leaves"] == x["enters"], acc["counts"]).otherwise(put(added, x["leaves"], c_out - 1))
+        seen = acc["seen"] + 1
+        return F.struct(counts.alias("counts"), moved.alias("sum"), seen.alias("seen"), F.when(seen >= window, F.least(acc["least"], moved)).otherwise(acc["least"]).alias("least"))
+
+    least = F.aggregate(steps, start, step, lambda acc: acc["least"])
+    return F.greatest(F.lit(0.0), F.log2(F.lit(float(window))) - least / window)
 
 
 def entropy_spans(text: Column) -> Column:
@@ -104,18 +129,37 @@ def _bare(spans: Column) -> Column:
     return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
+def add_clear(base: Column, more: Column) -> Column:
+    """The base spans, and those of `more` that don't overlap one; equal ones of `more` count once. Sorted by start.
+
+    Of all spans in order, one of `more` is clear if base spans before it end before it starts, and the next base span starts after its end.
+    """
+    extra = lambda s: s["kind"] == KINDS.index("entropy")
+    never = F.lit(2**31 - 1)
+
+    def keep(all_spans):
+        far = before(F.transform(all_spans, lambda s: F.when(extra(s), 0).otherwise(s["end"])), F.lit(0), lambda a, b: F.greatest(a, b))
+        following = F.reverse(before(F.reverse(F.transform(all_spans, lambda s: F.when(extra(s), never).otherwise(s["start"]))), never, lambda a, b: F.least(a, b)))
+        again = F.transform(all_spans, lambda s, i: s.eqNullSafe(F.get(all_spans, i - 1)))
+        clear = lambda x: ~extra(x["s"]) | ((x["far"] <= x["s"]["start"]) & (x["following"] >= x["s"]["end"]) & ~x["again"])
+        zipped = F.arrays_zip(all_spans.alias("s"), far.alias("far"), following.alias("following"), again.alias("again"))
+        return F.transform(F.filter(zipped, clear), lambda x: x["s"])
+
+    return bound(F.array_sort(F.concat(base, more)), keep)
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of docs and `secret_base`, `secret_spans`: sorted arrays of (start, kind, end), kind an index of KINDS.
 
     Base spans come from the fixed patterns. Entropy spans are added where they don't overlap a base span; equal ones
-    of two classes count once. Null or empty text: no spans. Each row is on its own; no shuffle. A text with m matches
-    of a kind costs m * m / 2 moves of array elements besides the search.
+    of two classes count once. Null or empty text: no spans. Each row is on its own; no shuffle. The work is in proportion to
+    the text's length and its number of matches (but for their sort).
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.concat(match_spans(text, ASSIGN, 0, assigned), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2))
-    out = docs.withColumn("secret_base", _bare(base)).withColumn("secret_more", F.array_distinct(_bare(entropy_spans(text))))
-    clear = F.filter("secret_more", lambda e: ~F.exists("secret_base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", clear))).drop("secret_more")
+    out = docs.withColumn("secret_base", _bare(base)).withColumn("secret_more", _bare(entropy_spans(text)))
+    spans = F.when(F.size("secret_more") > 0, add_clear(F.col("secret_base"), F.col("secret_more"))).otherwise(F.col("secret_base"))
+    return out.withColumn("secret_spans", spans).drop("secret_more")
 
 
 def spans_text(spans: str | Column) -> Column:
@@ -127,15 +171,22 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     """docs with every secret span of the text replaced by the mark; overlapping spans get one. Other columns stay."""
     found = scan(docs, text_col)
     text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit("")).alias("parts"))
-
-    def step(acc, s):
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["end"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), acc["parts"].alias("parts"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(before, F.lit(mark))).alias("parts"))
-        )
 
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    # what stands between spans; where one begins before the last ended, there is nothing, and no mark of its own
+    far = before(F.transform("secret_spans", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    gaps = F.filter(F.zip_with("secret_spans", far, lambda s, at: F.struct(at.alias("from"), s["start"].alias("to"))), lambda g: g["from"] <= g["to"])
+    last = F.array_max(F.transform("secret_spans", lambda s: s["end"]))
+    # chunks of 1024 code points, as the place of a code point in a long text takes as many steps to find
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,1024}"), F.lit(0))
+
+    def piece(chunks, a, b):
+        first, final = F.shiftright(a, 10), F.shiftright(b, 10)
+        at = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+        one = F.substring(at(first), a - first * 1024 + 1, b - a)
+        several = F.concat(F.substring(at(first), a - first * 1024 + 1, F.lit(1024)), F.array_join(F.slice(chunks, first + 2, F.greatest(final - first - 1, F.lit(0))), ""), F.substring(at(final), F.lit(1), b - final * 1024))
+        return F.when(first == final, one).otherwise(several)
+
+    clean = bound(chunks, lambda c: F.concat(F.array_join(F.transform(gaps, lambda g: F.concat(piece(c, g["from"], g["to"]), F.lit(mark))), ""), piece(c, last, F.length(text))))
     return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).select(*(f"`{c}`" for c in docs.columns))
 
 

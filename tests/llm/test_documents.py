@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -424,3 +425,33 @@ def test_redaction(make):
     assert got == {1: "é [REDACTED] end", 2: "clean text", 3: None, 4: "[REDACTED]" + got[4][10:]}
     assert "0123456789abcdef" not in got[4]
     assert secret_scan.redact(make(docs)).columns == make(docs).columns
+
+
+def test_long_runs_and_many_matches(make):
+    r = random.Random(12)
+    b64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    many = "".join(f"token={'abcdef' if k % 3 else 'short'} é " for k in range(50_000))
+    keys = " ".join("gJ8sK2vQ9xZ1bN4mC7tR0wE5pL3" + "abcdefXY"[k % 8] for k in range(20_000)) + " password=topsecret"
+    docs = [(1, f"see {b64} there"), (2, many), (3, keys), (4, "q" * 200_000)]
+    began = time.monotonic()
+    got = {x.doc_id: x for x in secret_scan.secret_digest(make(docs)).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1].spans.split(",")[0] == f"entropy:4:{4 + len(b64)}" and got[4].spans == ""  # runs of other classes may lie inside
+    want = ",".join(f"assign:{a}:{b}" for a, _, b in base_spans(many))
+    assert got[2].spans == want and got[2].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert got[3].spans.count("entropy") == 20_000 and got[3].spans.endswith(f"assign:{len(keys) - 18}:{len(keys)}")
+    clean = {x.doc_id: x.text for x in secret_scan.redact(make(docs)).collect()}
+    assert clean[1] == "see [REDACTED] there" and clean[3] == " ".join(["[REDACTED]"] * 20_001) and clean[4] == docs[3][1]
+    assert clean[2] == re.sub("token=abcdef", "[REDACTED]", many)
+
+
+def test_added_spans_keep_clear_of_base_ones(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(60):
+        mine = lambda n, kind: sorted({(a, kind() if callable(kind) else kind, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(r.randint(0, n)))})
+        rows.append((k, mine(6, lambda: r.randrange(3)), (more := mine(8, 3)) + more[:2]))
+    df = spark.createDataFrame(rows, f"k int, base array<{secret_scan.SPAN}>, more array<{secret_scan.SPAN}>")
+    for row in df.select("k", "base", "more", secret_scan.add_clear(F.col("base"), F.col("more")).alias("out")).collect():
+        clear = {tuple(e) for e in row.more if not any(b.start < e.end and e.start < b.end for b in row.base)}
+        assert [tuple(x) for x in row.out] == sorted([tuple(b) for b in row.base] + list(clear))
