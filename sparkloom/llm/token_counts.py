@@ -8,8 +8,9 @@ token before it, so the number of tokens of every prefix follows from the state
 second machine is made deterministic lazily, state by state, with bounds on the states and words that are kept.
 
 A long text is cut into chunks that are read in parallel. The map from the state before a chunk to the state after it
-and the tokens emitted has a short form, as white space resets both machines: what stands before the first white space, the
-tokens of the middle, what stands after the last. These maps compose associatively, and a scan joins them.
+and the tokens emitted has a short form, as both machines are reset where one word surely ends and another begins: what stands before the first
+such place, the tokens of the middle, what stands after the last. Two neighbours' maps make one: the word that lies across them
+is counted, and the outer ends stay open. This is associative, so maps are joined in a tree, a level of it at a time.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import json
 import re
 import sys
 import unicodedata
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import BASE, mix, powers
-from .tokens import tokenizer_path
+from .common import table
+from .tokens import library, tokenizer_path
 
 #: Unicode white space (without the separators 1C to 1F, which the tokenizer keeps as characters).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -34,16 +36,23 @@ SPACE = "\t-\r \x85\xa0  -     　"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 END = "</w>"
 MAX_STATES, MAX_WORDS = 150_000, 600_000
-BLANK, LETTER, NUMBER, OTHER = range(4)
+BLANK, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: Where a word surely ends and another begins, whatever stands around: white space (which is no part of a word), or between two characters
+#: of which one is a digit and the other a digit or letter, or after a stop before an ideograph. No special token or contraction lies across, and none of them composes with the one before.
+RESET = re.compile(f"[{SPACE}]|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u4e00-\u9fff])")
+FAN_IN = 16  # maps joined to one at each level of the tree
 
 
 @functools.cache
 def classes() -> np.ndarray:
+    """The class of each code point; UNKNOWN where this Python's Unicode tables, which may be older than the tokenizer's, have none."""
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for cp in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in "LN":
-            out[cp] = LETTER if kind == "L" else NUMBER
+        kind = unicodedata.category(chr(cp))
+        if kind[0] in "LN":
+            out[cp] = LETTER if kind[0] == "L" else NUMBER
+        elif kind == "Cn":
+            out[cp] = UNKNOWN
     out[[cp for cp in range(0x3001) if re.match(f"[{SPACE}]", chr(cp))]] = BLANK
     return out
 
@@ -168,17 +177,19 @@ class Counter:
     """Texts to token counts, for one tokenizer file."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.machine = CountingTransducer(spec["model"]["merges"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"] if t["special"]))
-        self.words: dict[int, int] = {}
+        self.words: dict[str, int] = {}
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)  # no rule for a sigma at the end of a word
 
     def count(self, texts: list[str]) -> np.ndarray:
+        """A text with a code point of no known class is counted by the library itself."""
         out = np.zeros(len(texts), np.int64)
         parts, owner, size = [], [], 0
         for i, t in enumerate(texts):
@@ -189,33 +200,58 @@ class Counter:
             owner.append(i)
             size += len(t)
             if size > 1 << 20 or i == len(texts) - 1:
-                out[owner] += self._count(parts)
+                n, known = self._count(parts)
+                out[owner] += n
+                for j in np.flatnonzero(~known):
+                    out[owner[j]] = len(library(self.path).encode(texts[owner[j]], add_special_tokens=False).ids)
                 parts, owner, size = [], [], 0
         return out
 
-    def _count(self, texts: list[str]) -> np.ndarray:
-        """Of normalised texts without special tokens."""
+    def _count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of normalised texts without special tokens, and whether all their code points are known."""
         text = " ".join(texts)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        strange = np.flatnonzero(classes()[points] == UNKNOWN)
+        known = np.ones(len(texts), bool)
+        known[np.searchsorted(bounds, strange, "right") - 1] = False
         starts, ends = words(points)
-        if not len(starts):
-            return np.zeros(len(texts), np.int64)
-        up, down = powers(len(points) + 1)
-        with np.errstate(over="ignore"):
-            total = np.r_[np.uint64(0), np.cumsum((points + np.uint32(1)).astype(np.uint64) * up[: len(points)], dtype=np.uint64)]
-            h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        kinds, first, each = np.unique(h, return_index=True, return_inverse=True)
-        found = np.zeros(len(kinds), np.int64)
         memo, count = self.words, self.machine.count
-        for i, (k, a, b) in enumerate(zip(kinds.tolist(), starts[first].tolist(), ends[first].tolist())):
-            n = memo.get(k)
-            if n is None:
-                n = memo[k] = count(text[a:b].encode("utf-8", "surrogatepass"))
-            found[i] = n
+        found = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        for w in dict.fromkeys(found):
+            if w not in memo:
+                memo[w] = count(w.encode("utf-8", "surrogatepass"))
+        n = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
         if len(memo) > MAX_WORDS:
             memo.clear()
-        at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-        return np.diff(np.r_[0, np.cumsum(found[each])][at])
+        return np.diff(np.r_[0, np.cumsum(n)][np.searchsorted(starts, bounds)]), known
+
+    def state_map(self, text: str) -> tuple[str, int, str, bool]:
+        """head, tokens of the middle, tail, whole: a chunk without a place of reset is whole, and its text the head."""
+        first = RESET.search(text)
+        if first is None:
+            return text, 0, "", True
+        for back in (1 << k for k in (6, 12, 18, 40)):
+            last = deque(RESET.finditer(text, max(first.start(), len(text) - back)), maxlen=1)
+            if last:
+                break
+        return text[: first.start()], int(self.count([text[first.end() : last[0].start()]])[0]) if last[0].start() > first.end() else 0, text[last[0].end() :], False
+
+    def join(self, maps: list[tuple[str, int, str, bool]]) -> tuple[str, int, str, bool]:
+        """Neighbouring state maps as one."""
+        open_parts, head, n = [], None, 0
+        across = []
+        for h, m, t, whole in maps:
+            open_parts.append(h)
+            if not whole:
+                if head is None:
+                    head = "".join(open_parts)
+                else:
+                    across.append("".join(open_parts))
+                n, open_parts = n + m, [t]
+        if head is None:
+            return "".join(open_parts), 0, "", True
+        return head, n + int(self.count(across).sum()), "".join(open_parts), False
 
 
 def words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +289,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row.
 
     Null or empty text: 0 bytes, 0 tokens. Repeated rows and ids are counted row by row; a null id is kept. Empty input: no rows.
-    Texts of more than `chunk` code points are cut into chunks that are dealt out to all tasks and joined by their state maps.
+    Texts of more than `chunk` code points are cut into chunks that are dealt out to all tasks and joined by their state maps. Only a run without
+    any place of reset (see RESET) is gathered in one row, as it is in the table, and read at once.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -264,46 +301,50 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
                 n = counter(path).count(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n_bytes"), pa.array(n)], ["key", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(n)], ["id", "n_bytes", "n_tokens"])
+
+    short = rows.where(F.length("text") <= chunk).select("id", "n_bytes", "text").mapInArrow(run, "id long, n_bytes long, n_tokens long")
+    long = rows.where(F.length("text") > chunk).withColumn("doc", F.struct("id", "n_bytes", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")))
+    chunks = long.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("place", "text"))
+    whole = joined_maps(table(state_maps(chunks.repartition("doc", "place"), path)), path)
+
+    def closed(batches):
+        for batch in batches:
+            head, tail = batch.column("head").to_pylist(), batch.column("tail").to_pylist()
+            n = batch.column("n").to_numpy() + counter(path).count(head) + counter(path).count(tail)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").field("id"), batch.column("doc").field("n_bytes"), pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
-    def counted(df: DataFrame, key: str, kind: str) -> DataFrame:
-        return df.select(F.col(key).alias("key"), "n_bytes", "text").mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
+    counted = short.unionByName(whole.mapInArrow(closed, "id long, n_bytes long, n_tokens long"))
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
-    short = counted(rows.where(F.length("text") <= chunk), "id", "long")
-    long = rows.where(F.length("text") > chunk).withColumn("doc", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")))
-    many = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))
-    chunks = long.select("doc", "n_bytes", F.posexplode(F.transform(many, lambda i: F.substring("text", (i * chunk + 1).cast("int"), F.lit(chunk)))).alias("place", "text"))
-    maps = state_maps(chunks.repartition("doc", "place"))
-    inner = counted(maps.select(F.struct("doc", "place", "head", "tail", "whole").alias("m"), "n_bytes", F.col("middle").alias("text")), "m", MAP)
-    joined = inner.groupBy("m.doc").agg(
-        F.first("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("inner"), F.array_sort(F.collect_list(F.struct("m.place", "m.head", "m.tail", "m.whole"))).alias("maps")
-    )
-    seams = joined.select(F.struct("doc.id", "inner").alias("s"), "n_bytes", F.concat_ws(" ", compose(F.col("maps"))).alias("text"))
-    whole = counted(seams, "s", "struct<id: long, inner: long>").select("s.id", "n_bytes", (F.col("s.inner") + F.col("n_tokens")).alias("n_tokens"))
-    return short.unionByName(whole).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
+MAP = "doc struct<id: long, n_bytes: long, h: long, row: long>, place int, head string, n long, tail string, whole boolean"
+_MAPS = pa.schema([("head", pa.string()), ("n", pa.int64()), ("tail", pa.string()), ("whole", pa.bool_())])
 
-MAP = "struct<doc: struct<id: long, h: long, row: long>, place: int, head: string, tail: string, whole: boolean>"
 
+def state_maps(chunks: DataFrame, path: str) -> DataFrame:
+    """The state map of each chunk (doc, place, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                maps = pa.Table.from_pylist([dict(zip(_MAPS.names, counter(path).state_map(t))) for t in part.column("text").to_pylist()], _MAPS).combine_chunks()
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("place"), *(c.combine_chunks() for c in maps.columns)], ["doc", "place", *_MAPS.names])
 
-def state_maps(chunks: DataFrame) -> DataFrame:
-    """Each chunk as head, middle and tail: what stands before its first white space, between, after its last."""
-    space = f"[{SPACE}]"
-    cut = lambda pattern: F.regexp_extract("text", pattern, 1)
-    whole = ~F.col("text").rlike(space)
-    head = F.when(whole, F.col("text")).otherwise(cut(f"^([^{SPACE}]*)"))
-    tail = F.when(whole, F.lit("")).otherwise(cut(f"([^{SPACE}]*)$"))
-    out = chunks.withColumn("whole", whole).withColumn("head", head).withColumn("tail", tail)
-    size = F.length("text") - F.length("head") - F.length("tail")
-    return out.withColumn("middle", F.when(F.col("whole"), F.lit("")).otherwise(F.substring(F.col("text"), F.length("head") + 1, size)))
+    return chunks.mapInArrow(run, MAP)
 
 
-def compose(maps: Column) -> Column:
-    """The words that lie across chunks, from the state maps of a text in order: tail, whole chunks, head."""
-    start = F.struct(F.array(F.lit("")).alias("done"), F.lit("").alias("open"))
+def joined_maps(maps: DataFrame, path: str) -> DataFrame:
+    """One map for each document: FAN_IN neighbours become one, level by level, in as many rounds as the longest text needs."""
 
-    def step(acc, m):
-        grown = F.concat(acc["open"], m["head"])
-        return F.when(m["whole"], F.struct(acc["done"].alias("done"), grown.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(grown)).alias("done"), m["tail"].alias("open")))
+    def join(given: pa.Table) -> pa.Table:
+        given = given.sort_by("place")
+        one = counter(path).join([tuple(r.values()) for r in given.select(_MAPS.names).to_pylist()])
+        return pa.table([given.column("doc").slice(0, 1), pa.array([given.column("place")[0].as_py() // FAN_IN], pa.int32()), *(pa.array([x], f.type) for x, f in zip(one, _MAPS))], names=["doc", "place", *_MAPS.names])
 
-    return F.aggregate(maps, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    most = maps.agg(F.max("place")).first()[0] or 0
+    while most > 0:
+        maps = maps.groupBy("doc", F.floor(F.col("place") / FAN_IN).alias("up")).applyInArrow(join, MAP)
+        most //= FAN_IN
+    return maps

@@ -348,6 +348,51 @@ def test_token_counts_match_the_library(make):
     assert token_counts.token_counts(make(EMPTY)).count() == 0
 
 
+def test_words_are_told_apart_by_their_bytes():
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [thue_morse(n, *x) for n in (1024, 2048) for x in ("es", "se", "th", "ht")]
+    want = [len(library(path).encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_counts.counter(path).count(texts).tolist() == want
+    assert token_counts.counter(path).count(texts[::-1]).tolist() == want[::-1]
+
+
+def test_every_code_point_counts_as_in_the_library():
+    path = tokenizer_path("word_bpe_49k.json")
+    unknown = token_counts.classes() == token_counts.UNKNOWN  # these go to the library: a sample of them will do
+    texts = [f"a{c}b 1{c}2 {c}{c}" for c in map(chr, [i for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and (not unknown[i] or i % 64 == 0 or i in (0xA7CB, 0xA7DC, 0x13808, 0x1385C, 0x13988))])]
+    lib, own = library(path), token_counts.counter(path)
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [len(e.ids) for e in lib.encode_batch(part, add_special_tokens=False)]
+        assert own.count(part).tolist() == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_state_maps_join_in_any_order(seed):
+    r = random.Random(seed)
+    alphabet = ["abcdefgh", "aB1 9z'sll", "\u3002\u4e2d\uff0c\u6587a1", "ab'<|endoftext|>", "\u0301e\u0301 x2"][r.randrange(5)]
+    text = "".join(r.choice(alphabet) for _ in range(600)) + "<|endoftext|>a1it'll" * 3
+    own, lib = token_counts.counter(tokenizer_path("word_bpe_49k.json")), library(tokenizer_path("word_bpe_49k.json"))
+    cuts = sorted({0, len(text), *(r.randrange(len(text)) for _ in range(12))})
+    maps = [own.state_map(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+    while len(maps) > 1:
+        k = r.randrange(len(maps) - 1)
+        maps[k : k + 2] = [own.join(maps[k : k + 2])]
+    head, n, tail, _ = maps[0]
+    assert n + own.count([head, tail]).sum() == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_text_without_white_space_is_split(make):
+    r = random.Random(9)
+    text = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    docs = [(1, text), (2, "x" * 30_000), (3, text[:70_000] + " " + text[:10])]
+    got = {x.doc_id: x.n_tokens for x in token_counts.token_counts(make(docs), chunk=4096).collect()}
+    lib = library(tokenizer_path("word_bpe_49k.json"))
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in docs}
+    own = token_counts.counter(tokenizer_path("word_bpe_49k.json"))
+    assert not any(own.state_map(text[a : a + 4096])[3] for a in range(0, len(text), 4096))  # no chunk is gathered whole
+
+
 def test_transducer_agrees_on_every_token_of_the_vocabulary():
     path = tokenizer_path("word_bpe_49k.json")
     lib, own = library(path), token_counts.counter(path)
