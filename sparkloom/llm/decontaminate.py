@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import LOOSE, mix, utf8, words
+from .shingles import LOOSE, mix, texts, word_keys
 
 N = 3
 RARE_TIMES, RARE_MORE = 8, 20
@@ -26,10 +26,9 @@ _WEIGHTS = mix(np.arange(101, 101 + N, dtype=np.uint64)) | np.uint64(1)
 
 
 def word_lists(column):
-    """The word hashes of each text."""
-    data, at = utf8(pc.utf8_lower(column))
-    for first, last, h, counts in words(data, at, LOOSE):
-        yield from np.split(h, np.cumsum(counts)[:-1]) if last - first > 1 else [h]
+    """The word keys of each text, 64 bits each."""
+    for text in texts(pc.utf8_lower(column)):
+        yield word_keys(text, LOOSE)[:, 0]
 
 
 def ngrams(h: np.ndarray) -> np.ndarray:

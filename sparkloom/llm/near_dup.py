@@ -8,9 +8,10 @@ candidates, and a candidate pair is a link only if the full sets say so.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from .shingles import mix, shingle_sets
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: A pair is verified if its estimate is not under the threshold by more than this: over six standard errors of 128 registers.
 MARGIN = 0.24
+CROWD = 32  # members that share an element are compared with each other up to this number, beyond it with one of them first
 _KEYS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _ODD = mix(_KEYS) | np.uint64(1)
 
@@ -67,8 +69,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, out, start = batch.column("id"), [], 0
-            for i, s in enumerate(shingle_sets(batch.column("text"), width)):
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, registers(s).tobytes() if len(s) else None))
+            for i, (s, more) in enumerate(shingle_sets(batch.column("text"), width)):
+                out.append((len(s), hashlib.blake2b(s.tobytes() + more.tobytes(), digest_size=16).digest() if len(s) else None, registers(s).tobytes() if len(s) else None))
                 if len(out) == 4096 or i == len(batch) - 1:
                     n, key, regs = zip(*out)
                     yield pa.RecordBatch.from_arrays([ids.slice(start, len(out)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["id", "n_shingles", "set_key", "registers"])
@@ -98,7 +100,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             kept = batch.filter(pa.array(passes(bitmap.value, batch.column("h").to_numpy())))
             ids, sets, start, size = kept.column("id"), [], 0, 0
-            for i, s in enumerate(shingle_sets(kept.column("text"), width)):
+            for i, (s, _) in enumerate(shingle_sets(kept.column("text"), width)):
                 sets.append(s.view(np.int64))
                 size += len(s)
                 if size > 1 << 18 or i == len(kept) - 1:
@@ -132,19 +134,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a band and no component and may be links, without going through all pairs of the band.
-
-    Let x be a member and c its band's centre, s the sum of the sizes of two sets and r = (100 - percent) / (100 + percent). Two sets are linked if and only if
-    their symmetric difference has r * s elements at most. Let D(x) be what x and c differ in. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
-    elements, so a link needs an overlap of D(x) and D(y) of (|D(x)| + |D(y)| - r * s) / 2 at least. If x is no link of c, this is over 0 for every y; if both
-    are links of c, they are one component already. So links show in short prefixes of D(x) and D(y) in a common order (what c lacks first: edits are
-    mostly unique), joined on their elements, with the bound on what can still follow.
-    """
+def _differences(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """c, x, part, n, d, short, at, token: a prefix of what each member x of held (c, x, part) and its centre c differ in. See _across."""
     r = (100 - percent) / (100 + percent)
-    parts = members.join(first, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
-    mixed = parts.where("size > 2").groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-    held = parts.join(mixed.select("band"), "band", "left_semi").join(centre, "band").select(F.col("node").alias("x"), F.col("b").alias("c"), "part").where("x != c").distinct()
     side = lambda n, h: sets.select(F.col("node").alias(n), F.col("hashes").alias(h))
     both = held.join(side("x", "s"), "x").join(side("c", "t"), "c")
     both = both.select("c", "x", "part", F.size("s").alias("n"), F.size("t").alias("m"), F.array_sort(F.array_except("s", "t")).alias("added"), F.array_sort(F.array_except("t", "s")).alias("removed"))
@@ -152,7 +144,11 @@ def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataF
     whole = F.floor(F.col("n") * (1 + 100 / percent) * r) + 1
     near = F.when(F.col("d") <= (F.col("n") + F.col("m")) * r, F.floor(F.col("d") / 2 + F.greatest(F.lit(0), F.col("n") - F.col("m")) * r / 2) + 1).otherwise(whole)
     d = d.withColumn("long", F.least(whole, near).cast("int")).withColumn("short", F.least(F.floor((whole - 1) / 2) + 1, near).cast("int"))
-    tokens = table(d.select("c", "x", "part", "n", "d", "short", F.posexplode(F.slice(F.concat("added", "removed"), 1, F.col("long"))).alias("at", "token")))
+    return d.select("c", "x", "part", "n", "d", "short", F.posexplode(F.slice(F.concat("added", "removed"), 1, F.col("long"))).alias("at", "token"))
+
+
+def _token_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    r = (100 - percent) / (100 + percent)
     y, z = tokens.where("at < short").alias("y"), tokens.alias("z")
     order = F.struct("y.d", "y.x") < F.struct("z.d", "z.x")
     fit = F.least("y.n", "z.n") * 100 >= F.greatest("y.n", "z.n") * percent
@@ -162,6 +158,45 @@ def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataF
     return pairs.select(F.least("y.x", "z.x").alias("a"), F.greatest("y.x", "z.x").alias("b")).distinct()
 
 
+def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataFrame, linked, percent: int) -> DataFrame:
+    """The components (node, component) when links between members of a band that aren't in one component of `first` yet are added,
+    without going through all pairs of the band. linked(pairs): those that are links.
+
+    Let x be a member and c its band's centre, s the sum of the sizes of two sets and r = (100 - percent) / (100 + percent). Two sets are linked if and only if
+    their symmetric difference has r * s elements at most. Let D(x) be what x and c differ in. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    elements, so a link needs an overlap of D(x) and D(y) of (|D(x)| + |D(y)| - r * s) / 2 at least. If x is no link of c, this is over 0 for every y; if both
+    are links of c, they are one component already. So links show in short prefixes of D(x) and D(y) in a common order (what c lacks first: edits are
+    mostly unique), joined on their elements, with the bound on what can still follow.
+
+    An element that more than CROWD members of different components have in their prefixes makes no pairs. Its members are a band of their own: they are compared with
+    one of them, and those that are still apart then go through the same again with that one as the centre. Every round takes one member out of a crowd, and a
+    family that is linked in itself is one component after one round. So the pairs of a round are at most CROWD for each prefix element.
+    """
+    parts = members.join(first, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
+    mixed = parts.where("size > 2").groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    held = parts.join(mixed.select("band"), "band", "left_semi").join(centre, "band").select(F.col("node").alias("x"), F.col("b").alias("c"), "part").where("x != c").distinct()
+    whole = first
+    while True:
+        tokens = table(_differences(held, sets, percent))
+        shared = tokens.groupBy("c", "token").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+        shared = table(shared.select("c", "token", "size"))
+        few, many = shared.where(F.col("size") <= CROWD), shared.where(F.col("size") > CROWD)
+        pairs = _token_pairs(tokens.join(few.select("c", "token"), ["c", "token"], "left_semi"), percent)
+        crowds = tokens.join(many.select("c", "token"), ["c", "token"]).select("c", "token", "x")
+        central = crowds.groupBy("x").agg(F.count("*").alias("weight"))
+        chosen = crowds.join(central, "x").groupBy("c", "token").agg(F.max(F.struct("weight", (-F.col("x")).alias("minus"))).alias("best"))
+        stars = table(crowds.join(chosen.select("c", "token", (-F.col("best.minus")).alias("y")), ["c", "token"]).select("x", "y").where("x != y").distinct())
+        more = table(linked(pairs.unionByName(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()))
+        if not more.isEmpty():
+            whole = table(connected_components(table(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))))
+        # who is still apart from others of its crowd
+        known = stars.join(whole.withColumnRenamed("node", "x"), "x", "left").select("x", F.col("y").alias("c"), F.coalesce("component", "x").alias("part"))
+        apart = known.groupBy("c").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("c")
+        held = table(known.join(apart, "c", "left_semi"))
+        if held.isEmpty():
+            return whole
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id, kept for every row: components of the graph of links between texts.
 
@@ -192,9 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = table(_links(_likely(star, nodes, percent / 100), sets, percent))
     first = table(connected_components(links))
 
-    rest = _across(members, centre, sets, first, percent).join(links, ["a", "b"], "left_anti")
-    more = table(_links(_likely(rest, nodes, percent / 100), sets, percent))
-    whole = connected_components(table(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))) if not more.isEmpty() else first
+    whole = _across(members, centre, sets, first, lambda pairs: _links(_likely(pairs.join(links, ["a", "b"], "left_anti"), nodes, percent / 100), sets, percent), percent)
 
     named = groups.join(whole, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("id", "n_shingles", "set_key").join(named, "set_key", "left")

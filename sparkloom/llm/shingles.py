@@ -1,34 +1,23 @@
-"""Hashes of words and of word shingles for whole Arrow columns of text, on numpy arrays.
+"""Keys of words and of word shingles for Arrow columns of text.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. Words hash by a polynomial over
-their bytes modulo 2**64 (taken from running sums, so no word is ever a Python object), then by a bit mixer.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. Its key is the 128-bit BLAKE2b digest of its
+bytes as two numbers of 64 bits, and a shingle's key is made of those of its words, so different shingles share one by chance only.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20  # bytes hashed at once; a longer text is cut between words
-BASE = 0x9E3779B97F4A7C55
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_LOWER += 1  # no byte may stand for nothing
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SEGMENT = 1 << 20  # bytes of a text that are cut into words at once
+MAX_WORDS = 1 << 20
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Breaks between words that are compared without punctuation: space and ASCII characters that are no letter or digit.
-LOOSE = np.array([not chr(b).isalnum() and b < 128 for b in range(256)])
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+LOOSE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,62 +38,61 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def _segment_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in some bytes, and the place after each."""
-    edges = np.flatnonzero(np.diff(np.r_[True, breaks[data], True]))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(max(SEGMENT, len(data)) + 1)
-    with np.errstate(over="ignore"):
-        total = np.r_[np.uint64(0), np.cumsum(_LOWER[data] * up[: len(data)], dtype=np.uint64)]
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), ends
-
-
-def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of whole texts: first text, text after the last, all their word hashes, number of words of each text."""
-    first = 0
-    while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SEGMENT, "right")) - 1)
-        if at[last] - at[first] <= SEGMENT:
-            part = data[at[first] : at[last]].copy()
-            ends_at = at[first + 1 : last + 1] - at[first]
-            # a word must not run on into the next text: put a break between them
-            gaps = np.insert(part, ends_at[:-1], 32) if last - first > 1 else part
-            h, ends = _segment_words(gaps, breaks)
-            bound = ends_at + np.arange(last - first)
-            yield first, last, h, np.diff(np.r_[0, np.searchsorted(ends, bound, "right")])
-        else:  # one text over SEGMENT
-            parts, lo, stop = [], int(at[first]), int(at[last])
-            while lo < stop:
-                hi = min(stop, lo + SEGMENT)
-                step = SEGMENT
-                while hi < stop and not (found_breaks := np.flatnonzero(breaks[data[hi - min(step, hi - lo) : hi]])).size:
-                    hi, step = min(stop, hi + SEGMENT), step + SEGMENT  # a word longer than a segment
-                if hi < stop:
-                    hi = hi - min(step, hi - lo) + int(found_breaks[-1]) + 1
-                parts.append(_segment_words(data[lo:hi], breaks)[0])
-                lo = hi
-            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield first, last, h, np.array([len(h)])
-        first = last
-
-
-def shingle_sets(column, width: int = 5) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles; of all its words, if there are fewer than width."""
-    data, at = utf8(column)
-    weights = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-    for _, _, h, counts in words(data, at):
+class WordKeys(dict):
+    """Words to places in an array of their keys; both are dropped when there are too many words."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests: list[bytes] = []
+        self.keys_known = np.zeros((0, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.digests)
+        self.digests.append(hashlib.blake2b(word, digest_size=16).digest())
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """uint64[len(words), 2]."""
+        if len(self.digests) > MAX_WORDS:
+            self.clear()
+            self.digests, self.keys_known = [], self.keys_known[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.keys_known) < len(self.digests):
+            fresh = np.frombuffer(b"".join(self.digests[len(self.keys_known) :]), "<u8").reshape(-1, 2)
+            self.keys_known = np.concatenate([self.keys_known, fresh])
+        return self.keys_known[at]
+
+
+_KEYS = WordKeys()
+
+
+def word_keys(text: bytes, breaks: bytes | None = None) -> np.ndarray:
+    """The keys of a text's words, in order: uint64[words, 2]. breaks: a table that makes more bytes spaces (LOOSE)."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
+        end = cut.start() if cut else len(text)
+        part = text[at:end].lower()
+        parts.append(_KEYS.of((part.translate(breaks) if breaks else part).split()))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+
+
+def texts(column: pa.Array) -> list[bytes]:
+    return column.fill_null("").cast(pa.large_binary()).to_pylist()
+
+
+def shingle_sets(column, width: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct keys of its shingles, their first 64 bits and the others; of all its words, if there are fewer than width."""
+    weights = mix(np.arange(1, 2 * width + 1, dtype=np.uint64).reshape(width, 2) * np.uint64(0x9E3779B97F4A7C55)) | np.uint64(1)
+    for text in texts(column):
+        keys = word_keys(text)
+        size = min(len(keys), width)
+        n = len(keys) - size + 1 if size else 0
         with np.errstate(over="ignore"):
-            n = len(h) - width + 1
-            whole = np.full(max(n, 0), width, np.uint64)
-            for j in range(width if n > 0 else 0):
-                whole += h[j : j + n] * weights[j]
-            whole = mix(whole)
-            start = 0
-            for k in counts.tolist():
-                if k >= width:
-                    yield np.unique(whole[start : start + k - width + 1])
-                elif k:
-                    yield mix(np.array([k], np.uint64) + (h[start : start + k] * weights[:k]).sum(dtype=np.uint64))
-                else:
-                    yield np.zeros(0, np.uint64)
-                start += k
+            found = np.full((n, 2), size, np.uint64)
+            for j in range(size):
+                found += keys[j : j + n] * weights[j]
+        found = mix(found)
+        first, at = np.unique(found[:, 0], return_index=True)
+        yield first, found[at, 1]

@@ -175,6 +175,28 @@ def test_near_duplicates_match_all_pairs(make):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, (_, c) in want.items() if i == c] + [None])
 
 
+def test_texts_that_polynomials_mistake_are_no_copies(make):
+    docs = [(i, thue_morse(1024, *x)) for i, x in enumerate(["ab", "ba", "ae", "ea"])] + [(9, "x " + thue_morse(2048, "t", "h")), (10, "x " + thue_morse(2048, "h", "t"))]
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(make(docs)).collect()} == {i: i for i, _ in docs}
+
+
+@pytest.mark.parametrize("crowd", [12, 32])
+def test_families_of_a_template_match_all_pairs(make, monkeypatch, crowd):
+    """Members share a template; paragraphs that many of them have too make clusters away from the centre of all their bands."""
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    r = random.Random(4)
+    fresh = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    template, paragraphs = fresh(100), [fresh(40), fresh(45), fresh(20)]
+    docs = []
+    for d in range(90):
+        k = r.randrange(4)
+        docs.append((d, " ".join([template, *([paragraphs[k]] if k < 3 else []), fresh(r.choice([2, 6, 12, 20, 30, 40]))])))
+    got = near_dup.near_duplicates(make(docs, extra=False)).collect()
+    want = components(docs)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert len({c for _, c in want.values()}) >= 3
+
+
 def test_near_duplicates_of_nothing(make):
     assert near_dup.near_duplicates(make(EMPTY)).count() == 0
     assert sorted(tuple(r) for r in near_dup.near_duplicates(make([(1, None), (2, "")])).select("component_id").collect()) == [(1,), (2,)]
