@@ -1,6 +1,7 @@
-"""The key-value model: a log of mutations (key, value, seq, op, expires_at) and views of it.
+"""The key-value model: a log of mutations (key, value, seq, op, expires_at, by) and views of it.
 
-op is SET, DEL, EXPIRE or INCR. The latest row of a key decides; expired keys are absent. `now` is a parameter everywhere.
+op is SET, DEL, EXPIRE or INCR. SET and DEL start a key anew, INCR adds to its number, EXPIRE sets its time; expired keys are absent. `now` is a
+parameter everywhere. A log without INCR needs no column `by`.
 """
 
 from __future__ import annotations
@@ -21,13 +22,36 @@ def alive(expires_at: Column, now: Column) -> Column:
     return expires_at.isNull() | (expires_at > now)
 
 
-def view(log: DataFrame, now: Column) -> DataFrame:
-    """key, value, expires_at of the keys that are there at `now`. A SET replaces value and expiry, EXPIRE the expiry only."""
-    sets = log.where("op IN ('SET', 'DEL')").groupBy("key").agg(F.max_by(F.struct("op", "value", "expires_at", "seq"), "seq").alias("s"))
-    times = log.where("op = 'EXPIRE'").groupBy("key").agg(F.max_by(F.struct("expires_at", "seq"), "seq").alias("e"))
-    both = sets.where("s.op = 'SET'").join(times, "key", "left")
-    expiry = F.when(F.col("e.seq") > F.col("s.seq"), F.col("e.expires_at")).otherwise(F.col("s.expires_at"))
-    return both.select("key", "s.value", expiry.alias("expires_at")).where(alive(F.col("expires_at"), now))
+def _number(value: Column) -> Column:
+    """A text that reads as a whole number, as such; else null."""
+    return F.when(value.rlike("^[+-]?[0-9]+$"), value.try_cast("long"))
+
+
+def _delta(log: DataFrame) -> Column:
+    """What an INCR adds: `by`, or 1 if that is 0 or null."""
+    return F.when(F.coalesce("by", F.lit(0)) == 0, 1).otherwise(F.col("by")) if "by" in log.columns else F.lit(1)
+
+
+def view(log: DataFrame, now: Column | None = None) -> DataFrame:
+    """key, value, expires_at of the keys that are there at `now` (None: whatever their expiry).
+
+    After the last SET or DEL of a key: INCR adds to the number (0 without one, or if the value is no whole number) and keeps the expiry;
+    the last EXPIRE replaces the expiry, if the key was there at the time.
+    """
+    start = log.where("op IN ('SET', 'DEL')").groupBy("key").agg(F.max_by(F.struct("op", "value", "expires_at", "seq"), "seq").alias("s"))
+    later = log.where("op IN ('INCR', 'EXPIRE')").withColumn("d", _delta(log)).join(start, "key", "left").where("s IS NULL OR seq > s.seq")
+    is_incr = F.col("op") == "INCR"
+    later = later.groupBy("key").agg(
+        F.count_if(is_incr).alias("n"), F.sum(F.when(is_incr, F.col("d"))).cast("long").alias("d"), F.min(F.when(is_incr, F.col("seq"))).alias("born"),
+        F.max_by(F.struct("expires_at", "seq"), F.when(~is_incr, F.col("seq"))).alias("e"),
+    )
+    both = start.join(later, "key", "full")
+    is_set, counted = F.coalesce(F.col("s.op") == "SET", F.lit(False)), F.coalesce(F.col("n") > 0, F.lit(False))
+    base = F.coalesce(_number(F.when(is_set, F.col("s.value"))), F.lit(0))
+    value = F.when(counted, (base + F.col("d")).cast("string")).otherwise(F.col("s.value"))
+    expiry = F.when(F.col("e.seq") > F.when(is_set, F.col("s.seq")).otherwise(F.col("born")), F.col("e.expires_at")).otherwise(F.when(is_set, F.col("s.expires_at")))
+    there = both.where(is_set | counted).select("key", value.alias("value"), expiry.alias("expires_at"))
+    return there if now is None else there.where(alive(F.col("expires_at"), now))
 
 
 def get(kv: DataFrame, key: str) -> DataFrame:
@@ -66,20 +90,36 @@ def ttl(kv: DataFrame, now: Column) -> DataFrame:
     return kv.select("key", F.coalesce(left, F.lit(-1)).cast("long").alias("ttl"))
 
 
-def counter_totals(log: DataFrame) -> DataFrame:
-    """key, value: the sum of the deltas after the last SET, which counts with its own number (0 if it has none). A `by` of 0 counts as 1."""
-    start = log.where("op = 'SET'").groupBy("key").agg(F.max_by(F.struct("seq", "value"), "seq").alias("s"))
-    by = F.when(F.col("by") == 0, 1).otherwise(F.col("by"))
-    deltas = log.where("op = 'INCR'").join(start, "key", "left").where("s.seq IS NULL OR seq > s.seq").groupBy("key").agg(F.sum(by).alias("d"))
-    return start.join(deltas, "key", "full").select("key", (F.coalesce(F.col("s.value").try_cast("long"), F.lit(0)) + F.coalesce("d", F.lit(0))).alias("value"))
-
-
-def counter_running(log: DataFrame) -> DataFrame:
-    """log with `value`, the counter after each row."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("value", F.sum(F.when(F.col("by") == 0, 1).otherwise(F.col("by"))).over(w))
+def counter_totals(log: DataFrame, now: Column | None = None) -> DataFrame:
+    """key, value of the keys whose value is a whole number."""
+    return view(log, now).select("key", _number(F.col("value")).alias("value")).where("value IS NOT NULL")
+
+
+def counter_running(log: DataFrame, seqs_per_range: int = 1 << 20) -> DataFrame:
+    """The rows of INCR with `value`, the counter after each.
+
+    Numbers of the log are cut into ranges, and a key's rows into those of each range: so a task's group has at most seqs_per_range rows, however hot
+    the key. A range hands on the sum since the last SET or DEL in it, or, without one, adds to what came before.
+    """
+    fresh = F.col("op").isin("SET", "DEL")
+    step = F.when(fresh, F.when(F.col("op") == "SET", F.coalesce(_number(F.col("value")), F.lit(0))).otherwise(0)).when(F.col("op") == "INCR", _delta(log)).otherwise(0).cast("long")
+    rows = log.withColumn("__range", F.floor(F.col("seq") / seqs_per_range)).withColumn("__step", step).withColumn("__fresh", fresh.cast("int"))
+    inside = Window.partitionBy("key", "__range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__since", F.sum("__fresh").over(inside))
+    since = Window.partitionBy("key", "__range", "__since").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.sum("__step").over(since))
+    ends = log.withColumn("__range", F.floor(F.col("seq") / seqs_per_range)).withColumn("__step", step)
+    last = ends.where(fresh).groupBy("key", "__range").agg(F.max("seq").alias("__last"))
+    ends = ends.join(last, ["key", "__range"], "left").where("__last IS NULL OR seq >= __last").groupBy("key", "__range").agg(F.sum("__step").alias("__tail"), F.max(F.col("__last").isNotNull().cast("int")).alias("__had"))
+    over = Window.partitionBy("key").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("__part", F.sum("__had").over(over))
+    so_far = F.sum("__tail").over(Window.partitionBy("key", "__part").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("__so_far", so_far)
+    carried = ends.select("key", "__range", F.lag("__so_far", 1, 0).over(Window.partitionBy("key").orderBy("__range")).alias("__carry"))
+    value = F.col("__own") + F.when(F.col("__since") == 0, F.col("__carry")).otherwise(0)
+    return rows.where("op = 'INCR'").join(carried, ["key", "__range"]).withColumn("value", value).select(*log.columns, *(["value"] if "value" not in log.columns else []))
 
 
 def compact(log: DataFrame, now: Column) -> DataFrame:
-    """A log of one SET for each key that is there at `now`."""
+    """A log of one SET for each key that is there at `now`, counters with their number: it reads as the old one, from then on too."""
     return view(log, now).select("key", "value", F.lit(0).cast("long").alias("seq"), F.lit("SET").alias("op"), "expires_at")

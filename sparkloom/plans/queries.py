@@ -274,7 +274,7 @@ def kv_delete_pattern(spark, sf):
 
 
 def _counters(spark, sf):
-    return load(spark, sf, "events").select(F.concat(F.lit("c:"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.lit("INCR").alias("op"), F.lit(None).cast("string").alias("value"), (F.col("event_id") % 5).alias("by"))
+    return load(spark, sf, "events").select(F.concat(F.lit("c:"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.lit("INCR").alias("op"), F.lit(None).cast("string").alias("value"), (F.col("event_id") % 5).alias("by"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
 
 
 @query("SELECT 'c:' || user_id AS key, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE event_id % 5 END) AS BIGINT) AS value FROM events GROUP BY user_id")
@@ -292,6 +292,73 @@ def kv_compact(spark, sf):
     return kv.compact(kv_log(load(spark, sf, "events")), now())
 
 
+# A log that mixes all mutations: by event_id, a SET of a number or a text, DEL, EXPIRE of 20 days, else INCR.
+_MIXED = """(SELECT 'm:' || user_id % 400 AS key, event_id AS seq, ts, CASE event_id % 13 WHEN 0 THEN 'SET' WHEN 1 THEN 'SET' WHEN 2 THEN 'DEL' WHEN 3 THEN 'EXPIRE' ELSE 'INCR' END AS op,
+CASE event_id % 13 WHEN 0 THEN CAST(event_id % 100 AS VARCHAR) WHEN 1 THEN event_type END AS value, CASE WHEN event_id % 13 = 3 THEN ts + INTERVAL 20 DAYS END AS expires_at, CASE WHEN event_id % 5 = 0 THEN 1 ELSE event_id % 5 END AS delta FROM events)"""
+_MIXED_VIEW = f"""(WITH m AS {_MIXED}, s AS (SELECT key, max(seq) AS top FROM m WHERE op IN ('SET', 'DEL') GROUP BY key),
+l AS (SELECT m.*, coalesce(s.top, -1) AS top FROM m LEFT JOIN s ON s.key = m.key WHERE s.top IS NULL OR m.seq >= s.top),
+g AS (SELECT key, any_value(op) FILTER (WHERE seq = top) AS op, any_value(value) FILTER (WHERE seq = top AND op = 'SET') AS value, sum(delta) FILTER (WHERE op = 'INCR') AS d, min(seq) FILTER (WHERE op = 'INCR' OR (op = 'SET' AND seq = top)) AS born,
+max(seq) FILTER (WHERE op = 'EXPIRE') AS e, max_by(expires_at, seq) FILTER (WHERE op = 'EXPIRE') AS until FROM l GROUP BY key)
+SELECT key, CASE WHEN d IS NULL THEN value ELSE CAST(coalesce(TRY_CAST(value AS BIGINT), 0) + d AS VARCHAR) END AS value, CASE WHEN e > born THEN until END AS expires_at FROM g
+WHERE born IS NOT NULL AND (NOT coalesce(e > born, false) OR until > TIMESTAMP '{NOW}'))"""
+
+
+def _mixed(spark, sf):
+    kind = F.col("event_id") % 13
+    return load(spark, sf, "events").select(
+        F.concat(F.lit("m:"), (F.col("user_id") % 400).cast("string")).alias("key"), F.col("event_id").alias("seq"), "ts",
+        F.when(kind < 2, "SET").when(kind == 2, "DEL").when(kind == 3, "EXPIRE").otherwise("INCR").alias("op"),
+        F.when(kind == 0, (F.col("event_id") % 100).cast("string")).when(kind == 1, F.col("event_type")).alias("value"),
+        F.when(kind == 3, F.col("ts") + F.expr("INTERVAL 20 DAYS")).alias("expires_at"), (F.col("event_id") % 5).alias("by"),
+    )
+
+
+@query(f"SELECT key, value, expires_at FROM {_MIXED_VIEW}")
+def kv_mixed_view(spark, sf):
+    return kv.view(_mixed(spark, sf), now())
+
+
+@query(f"SELECT key, value FROM {_MIXED_VIEW} WHERE key IN ('m:7', 'm:11', 'm:13', 'm:nothing')")
+def kv_get_counter(spark, sf):
+    return kv.view(_mixed(spark, sf), now()).where(F.col("key").isin("m:7", "m:11", "m:13", "m:nothing")).select("key", "value")
+
+
+@query(f"SELECT key, CAST(value AS BIGINT) AS value FROM {_MIXED_VIEW} WHERE regexp_full_match(value, '[0-9]+')")
+def kv_mixed_counters(spark, sf):
+    return kv.counter_totals(_mixed(spark, sf), now())
+
+
+@query(f"""WITH m AS {_MIXED}, g AS (SELECT *, count(*) FILTER (WHERE op IN ('SET', 'DEL')) OVER (PARTITION BY key ORDER BY seq) AS part FROM m)
+SELECT key, seq, CAST(value AS BIGINT) AS value FROM (SELECT key, seq, op, sum(CASE op WHEN 'INCR' THEN delta WHEN 'SET' THEN coalesce(TRY_CAST(value AS BIGINT), 0) ELSE 0 END) OVER (PARTITION BY key, part ORDER BY seq) AS value FROM g) WHERE op = 'INCR'""")
+def kv_mixed_running(spark, sf):
+    return kv.counter_running(_mixed(spark, sf), 1000).select("key", "seq", "value")
+
+
+@query(f"SELECT key, value, expires_at FROM {_MIXED_VIEW}")
+def kv_compact_mixed(spark, sf):
+    """What the compacted log reads as."""
+    return kv.view(kv.compact(_mixed(spark, sf), now()), now())
+
+
+@query("""WITH e AS (SELECT event_type || ':' || user_id AS key, max(event_id) AS seq FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT e.key, props AS value, CASE WHEN e.seq % 3 = 0 THEN ts + INTERVAL 1 DAY END AS expires_at FROM e JOIN events ON event_id = e.seq WHERE e.seq % 3 <> 0 OR ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-10 00:00:00'""")
+def kv_expire(spark, sf):
+    """SETs without an expiry; those of every third number get one of a day right afterwards."""
+    sets = kv_log(load(spark, sf, "events").where("event_id % 2 = 0")).withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    soon = load(spark, sf, "events").where("event_id % 6 = 0")
+    times = kv_log(soon).withColumn("value", F.lit(None).cast("string")).withColumn("op", F.lit("EXPIRE")).withColumn("expires_at", F.col("expires_at") - F.expr("INTERVAL 6 DAYS")).withColumn("seq", F.col("seq") + 1)
+    return kv.view(sets.unionByName(times), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+
+
+@query(f"SELECT key, value FROM {_KV} WHERE key NOT IN ('click:7', 'view:3') UNION ALL SELECT 'new:1', 'x' UNION ALL SELECT 'new:2', 'y'")
+def kv_mset(spark, sf):
+    """Rows of SET and DEL appended to a log."""
+    log_ = kv_log(load(spark, sf, "events"))
+    more = spark.createDataFrame([("new:1", "x", "SET"), ("new:2", "y", "SET"), ("click:7", None, "DEL"), ("view:3", None, "DEL")], "key string, value string, op string")
+    more = more.select("key", "value", F.lit(10**12).alias("seq"), "op", F.lit(None).cast("timestamp_ntz").alias("expires_at"))
+    return kv.view(log_.unionByName(more), now()).select("key", "value")
+
+
 def _messages(spark, sf):
     return queue_messages(load(spark, sf, "events"))
 

@@ -55,12 +55,21 @@ def test_key_value(db):
     assert 0 < {r.key: r.ttl for r in store.ttl(at(1)).collect()}["test_key"] <= 300
     store.expire("mset_test1", 10, T0)
     store.delete("mset_test2", "none")
-    assert [r.key for r in store.keys(at(5)).collect()] == ["mset_test1", "test_key"]
-    assert store.counters().where("key = 'counter'").first().value == 7
+    assert [r.key for r in store.keys(at(5)).collect()] == ["counter", "mset_test1", "test_key"]
+    assert store.counters().where("key = 'counter'").first().value == 7 and store.get("counter", T0).first().value == "7"
     store.compact(at(5))
-    assert [r.key for r in store.keys(at(5)).collect()] == ["mset_test1", "test_key"]
+    assert [r.key for r in store.keys(at(5)).collect()] == ["counter", "mset_test1", "test_key"]
+    store.incr("counter", 1)
+    assert store.get("counter", at(5)).first().value == "8"
     store.delete_pattern("mset*", at(5))
-    assert [r.key for r in store.keys(at(5)).collect()] == ["test_key"]
+    assert [r.key for r in store.keys(at(5)).collect()] == ["counter", "test_key"]
+    store.delete("counter")
+    store.incr("counter", 1)
+    assert store.get("counter", at(5)).first().value == "1"
+    store.incr("n", 7)
+    store.set("n", "10", T0)
+    store.compact(at(5))
+    assert store.get("n", at(5)).first().value == "10"
     with pytest.raises(ValueError):
         store.set("", "x", T0)
 

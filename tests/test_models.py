@@ -1,6 +1,8 @@
 """Keys, queues, logs and streams."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,11 +59,44 @@ def test_kv_view(spark):
 
 def test_counters(spark):
     rows = [("c", 1, "INCR", None, 5), ("c", 2, "INCR", None, 3), ("d", 3, "INCR", None, 10), ("d", 4, "INCR", None, -3), ("t", 5, "SET", "text", None), ("t", 6, "INCR", None, 0), ("s", 7, "INCR", None, 9), ("s", 8, "SET", "40", None), ("s", 9, "INCR", None, 2)]
-    df = spark.createDataFrame(rows, "key string, seq long, op string, value string, by long")
+    df = spark.createDataFrame(rows, "key string, seq long, op string, value string, by long").withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
     assert {r.key: r.value for r in kv.counter_totals(df).collect()} == {"c": 8, "d": 7, "t": 1, "s": 42}
-    many = spark.range(200).select(F.lit("global").alias("key"), F.col("id").alias("seq"), F.lit("INCR").alias("op"), F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("by"))
+    many = spark.range(200).select(F.lit("global").alias("key"), F.col("id").alias("seq"), F.lit("INCR").alias("op"), F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("by"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
     assert kv.counter_totals(many).first().value == 200
-    assert [r.value for r in kv.counter_running(many).orderBy("seq").limit(3).collect()] == [1, 2, 3]
+    assert [r.value for r in kv.counter_running(many, 7).orderBy("seq").collect()] == list(range(1, 201))
+
+
+def replay(rows, when):
+    """A mixed log one row after the other: the keys at a time, and the counter after each INCR."""
+    held, running = {}, []
+    for key, seq, op, value, by, expires in rows:
+        if op == "SET":
+            held[key] = [value, expires]
+        elif op == "DEL":
+            held.pop(key, None)
+        elif op == "EXPIRE" and key in held:
+            held[key][1] = expires
+        elif op == "INCR":
+            old = held.setdefault(key, ["0", None])
+            old[0] = str((int(old[0]) if re.fullmatch("[+-]?[0-9]+", old[0] or "") else 0) + (by or 1))
+            running.append((key, seq, int(old[0])))
+    return {k: (v, e) for k, (v, e) in held.items() if e is None or e > when}, running
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_log_reads_as_replayed(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for seq in range(1, 400):
+        op = r.choice(["SET", "DEL", "EXPIRE", "INCR", "INCR", "INCR", "GET"])
+        value = r.choice(["12", "-3", "text", "", "5.0", " 7"]) if op == "SET" else None
+        rows.append((r.choice("abcdefgh"), seq, op, value, r.choice([0, 1, 5, -2]) if op == "INCR" else None, at(r.randint(1, 9)) if op == "EXPIRE" or (op == "SET" and r.random() < 0.3) else None))
+    df = spark.createDataFrame(rows, "key string, seq long, op string, value string, by long, expires_at timestamp_ntz")
+    want, running = replay(rows, at(5))
+    assert {x.key: (x.value, x.expires_at) for x in kv.view(df, F.lit(at(5)).cast("timestamp_ntz")).collect()} == want
+    assert sorted((x.key, x.seq, x.value) for x in kv.counter_running(df, 37).collect()) == sorted(running)
+    packed = kv.compact(df, F.lit(at(5)).cast("timestamp_ntz"))
+    assert {x.key: (x.value, x.expires_at) for x in kv.view(packed).collect()} == want
 
 
 def messages(spark, n=5):
