@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_filter, id_hash, passes, table
 from .shingles import LOOSE, mix, texts, word_keys
 
 N = 3
@@ -22,6 +22,7 @@ RARE_TIMES, RARE_MORE = 8, 20
 MATCH, MISMATCH, GAP = 1, -1, -1
 LEAST_SCORE, LEAST_SEEDS = 0.5, 2
 BLOOM_BITS = 1 << 24
+SALTS = 32
 _WEIGHTS = mix(np.arange(101, 101 + N, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -32,9 +33,11 @@ def word_lists(column):
 
 
 def ngrams(h: np.ndarray) -> np.ndarray:
+    """Keys of the N-grams of some words; of fewer than N words, one for all of them."""
     n = len(h) - N + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return mix(np.uint64(len(h)) + mix(h * _WEIGHTS[: len(h)]).sum(dtype=np.uint64, keepdims=True)) if len(h) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         return mix(sum(h[j : j + n] * _WEIGHTS[j] for j in range(N)))
 
@@ -81,14 +84,31 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def aligned(windows: list[np.ndarray], items: list[np.ndarray], cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """align() in groups of similar sizes, each of at most `cells` padded words (or one pair)."""
+    best, end = np.zeros(len(windows), np.int32), np.zeros(len(windows), np.int64)
+    order = sorted(range(len(windows)), key=lambda i: (len(items[i]), len(windows[i])))
+    while order:
+        wide, n = 0, 0
+        for i in order:
+            wide = max(wide, len(windows[i]), len(items[i]))
+            if n and wide * (n + 1) > cells:
+                break
+            n += 1
+        some, order = order[:n], order[n:]
+        best[some], end[some] = align([windows[i] for i in some], [items[i] for i in some])
+    return best, end
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, n_seeds, start, end: documents that hold a copy of a test item, exact, edited or in part.
 
     score: the best alignment's score over the item's number of words, 1 for an exact copy; start and end are words of the document (the end of the
     best alignment, start is the window's). One row for each pair with a score of `least` or more. A window needs LEAST_SEEDS different
-    seeds, or all there are in an item with fewer. Null texts or ids, and items of under N words: no rows. Equal items are
-    found each. Rows that share an id are scanned row by row, the best counts. Empty tables: no rows.
-    Every task holds a bitmap of fixed size; what passes it is joined exactly. Windows are as long as twice the longest item.
+    seeds, or all there are in an item with fewer. Null texts or ids, and items without words: no rows. Items of under N words are common phrases: only documents that
+    consist of the same words hold them. Equal items are found each. Rows that share an id are scanned row by row, the best counts. Empty tables: no rows.
+    Every task holds a bitmap of fixed size; what passes it is joined exactly, the hits of a seed in SALTS parts. Seeds of an item whose diagonals (place in the document less
+    place in the item) are near each other share a window; it has about five times the item's words at most, whatever the document's length.
     """
     spark = docs.sparkSession
     sides = lambda df, key: df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
@@ -104,7 +124,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     wanted = table(items.mapInArrow(item_rows, "item long, size long, words binary, grams array<long>"))
     grams = wanted.select("item", "size", F.posexplode("grams").alias("place", "gram"))
-    longest = wanted.agg(F.max("size")).first()[0] or 0
 
     def bits_of(df: DataFrame):
         def run(batches):
@@ -142,51 +161,64 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     seed_bits = bits_of(seeds)
 
     def hits(batches):
-        names = ["id", "start", "words", "grams", "places"]
         for batch in batches:
-            rows = []
+            ids, grams_found, places = [], [], []
             for i, h in zip(batch.column("id").to_pylist(), word_lists(batch.column("text"))):
                 g = ngrams(h)
                 at = in_bloom(seed_bits.value, g)
-                if not len(at):
-                    continue
-                for part in np.split(at, np.flatnonzero(np.diff(at) > longest) + 1):
-                    lo, hi = max(0, int(part[0]) - longest), min(len(h), int(part[-1]) + N + longest)
-                    rows.append((i, lo, h[lo:hi].astype(np.uint32).tobytes(), g[part].view(np.int64), part.astype(np.int64)))
+                ids.append(np.full(len(at), i, np.int64))
+                grams_found.append(g[at].view(np.int64))
+                places.append(at.astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, grams_found, places)], ["id", "gram", "at"])
+
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = texts.mapInArrow(hits, "id long, gram long, at long").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
+    each = each.join(salted, ["gram", "salt"]).withColumn("diagonal", F.col("at") - F.col("place")).withColumn("slack", F.floor(F.col("size") / 2) + 2)
+    # bins of diagonals as wide as the item and its slack; a hit near an edge counts in both, so hits within a slack of each other share one
+    wide = F.col("size") + 2 * F.col("slack")
+    bins = F.array_distinct(F.array(F.floor((F.col("diagonal") - F.col("slack")) / wide), F.floor((F.col("diagonal") + F.col("slack")) / wide)))
+    pairs = each.withColumn("bin", F.explode(bins)).groupBy("id", "item", "bin").agg(
+        F.count_distinct("gram").alias("n_seeds"), F.first("own").alias("own"), F.min(F.col("diagonal") - F.col("slack")).alias("lo"), F.max(F.col("diagonal") + F.col("size") + F.col("slack")).alias("hi")
+    )
+    pairs = table(pairs.where(F.col("n_seeds") >= F.least(F.lit(LEAST_SEEDS), F.col("own"))).select("id", "item", "n_seeds", "lo", "hi"))
+    bitmap = spark.sparkContext.broadcast(id_filter(pairs, "id"))
+    spans = pairs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for i, h, wanted_spans in zip(batch.column("id").to_pylist(), word_lists(batch.column("text")), batch.column("spans").to_pylist()):
+                for x in wanted_spans:
+                    rows.append((i, x["lo"], x["hi"], h[max(0, x["lo"]) : max(0, x["hi"])].astype(np.uint32).tobytes()))
                 if len(rows) >= 1024:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], SCHEMA)
+                    yield pa.RecordBatch.from_pylist([dict(zip(WINDOWS.names, r)) for r in rows], WINDOWS)
                     rows = []
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], SCHEMA)
+            yield pa.RecordBatch.from_pylist([dict(zip(WINDOWS.names, r)) for r in rows], WINDOWS)
 
-    found = table(texts.mapInArrow(hits, "id long, start long, words binary, grams array<long>, places array<long>").withColumn("window", F.monotonically_increasing_id()))
-    each = found.select("window", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("window", F.col("x.grams").alias("gram"), F.col("x.places").alias("at"))
-    pairs = each.join(seeds, "gram").groupBy("window", "item").agg(
-        F.count_distinct("gram").alias("n_seeds"), F.first("own").alias("own"), F.min(F.col("at") - F.col("place")).alias("lo"), F.max(F.col("at") - F.col("place") + F.col("size")).alias("hi")
-    )
-    pairs = pairs.where(F.col("n_seeds") >= F.least(F.lit(LEAST_SEEDS), F.col("own")))
-    ready = pairs.join(found.select("window", "id", "start", "words"), "window").join(wanted.select("item", F.col("words").alias("item_words")), "item")
+    @F.arrow_udf("boolean")
+    def may_have(h: pa.Array) -> pa.Array:
+        return pa.array(passes(bitmap.value, h.to_numpy(zero_copy_only=False)))
+
+    windows = texts.where(may_have(id_hash("id"))).join(spans, "id").select("id", "text", "spans").mapInArrow(cut, "id long, lo long, hi long, words binary")
+    ready = table(pairs.join(windows, ["id", "lo", "hi"])).join(wanted.select("item", F.col("words").alias("item_words")), "item")
 
     def score(batches):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                start, lo, hi = (part.column(c).to_numpy() for c in ("start", "lo", "hi"))
-                item = [np.frombuffer(x, np.uint32) for x in part.column("item_words").to_pylist()]
-                window = [np.frombuffer(x, np.uint32) for x in part.column("words").to_pylist()]
-                slack = [len(x) // 2 + 2 for x in item]
-                first = [max(0, int(a - s) - k) for a, s, k in zip(lo, start, slack)]
-                window = [x[a : max(a, int(b - s) + k)] for x, a, b, s, k in zip(window, first, hi, start, slack)]
-                best, end = align(window, item)
-                begin = start + np.array(first)
+                item, window = ([np.frombuffer(x, np.uint32) for x in part.column(c).to_pylist()] for c in ("item_words", "words"))
+                best, end = aligned(window, item)
+                begin = np.maximum(part.column("lo").to_numpy(), 0)
                 out = [part.column("id"), part.column("item"), pa.array(best / np.array([len(x) for x in item])), part.column("n_seeds"), pa.array(begin), pa.array(begin + end)]
                 yield pa.RecordBatch.from_arrays(out, ["id", "item", "score", "n_seeds", "start", "end"])
 
-    scored = ready.select("id", "item", "n_seeds", "start", "lo", "hi", "words", "item_words").mapInArrow(score, "id long, item long, score double, n_seeds long, start long, end long")
+    scored = ready.select("id", "item", "n_seeds", "lo", "words", "item_words").mapInArrow(score, "id long, item long, score double, n_seeds long, start long, end long")
     best = scored.where(F.col("score") >= least).groupBy("id", "item").agg(F.max(F.struct("score", "n_seeds", "start", "end")).alias("x"))
     return best.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "x.score", "x.n_seeds", "x.start", "x.end")
 
 
-SCHEMA = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+WINDOWS = pa.schema([("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary())])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
