@@ -23,6 +23,7 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: A pair is verified if its estimate is not under the threshold by more than this: over six standard errors of 128 registers.
 MARGIN = 0.24
 CROWD = 32  # members that share an element are compared with each other up to this number, beyond it with one of them first
+ROUNDS = 4
 _KEYS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _ODD = mix(_KEYS) | np.uint64(1)
 
@@ -169,18 +170,19 @@ def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataF
     mostly unique), joined on their elements, with the bound on what can still follow.
 
     An element that more than CROWD members of different components have in their prefixes makes no pairs. Its members are a band of their own: they are compared with
-    one of them, and those that are still apart then go through the same again with that one as the centre. Every round takes one member out of a crowd, and a
-    family that is linked in itself is one component after one round. So the pairs of a round are at most CROWD for each prefix element.
+    one of them, and those that are still apart then go through the same again with that one as the centre. A family that is linked in itself is one component
+    after one round. What is crowded after ROUNDS rounds (members that share elements, but are no links) is compared in pairs, so nothing is lost.
     """
     parts = members.join(first, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
     mixed = parts.where("size > 2").groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
     held = parts.join(mixed.select("band"), "band", "left_semi").join(centre, "band").select(F.col("node").alias("x"), F.col("b").alias("c"), "part").where("x != c").distinct()
-    whole = first
+    whole, rounds = first, 0
     while True:
         tokens = table(_differences(held, sets, percent))
-        shared = tokens.groupBy("c", "token").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-        shared = table(shared.select("c", "token", "size"))
-        few, many = shared.where(F.col("size") <= CROWD), shared.where(F.col("size") > CROWD)
+        shared = tokens.groupBy("c", "token").agg(F.count("*").alias("size"), F.count_if(F.col("at") < F.col("short")).alias("early"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        shared = table(shared.where("lo != hi AND early > 0").select("c", "token", "size"))
+        crowded = (F.col("size") > CROWD) & F.lit(rounds < ROUNDS)
+        few, many = shared.where(~crowded), shared.where(crowded)
         pairs = _token_pairs(tokens.join(few.select("c", "token"), ["c", "token"], "left_semi"), percent)
         crowds = tokens.join(many.select("c", "token"), ["c", "token"]).select("c", "token", "x")
         central = crowds.groupBy("x").agg(F.count("*").alias("weight"))
@@ -193,6 +195,7 @@ def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataF
         known = stars.join(whole.withColumnRenamed("node", "x"), "x", "left").select("x", F.col("y").alias("c"), F.coalesce("component", "x").alias("part"))
         apart = known.groupBy("c").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("c")
         held = table(known.join(apart, "c", "left_semi"))
+        rounds += 1
         if held.isEmpty():
             return whole
 
