@@ -18,11 +18,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as an archive, against a replica that a fixed rule has damaged: some records altered, some lost."""
-    ours = table(merkle_audit.archive_records(read(spark, sf_dir, "pages")))
-    theirs = ours.where(F.pmod("record_id", F.lit(211)) != 17).withColumn(
-        "digest", F.when(F.pmod("record_id", F.lit(97)) == 5, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
-    )
+    """pages as an archive, against an archive of pages that a fixed rule has damaged: some altered, some lost, some added."""
+    pages = read(spark, sf_dir, "pages")
+    damaged = pages.where(F.coalesce(F.pmod("page_id", F.lit(211)) != 17, F.lit(True))).withColumn("html", F.when(F.pmod("page_id", F.lit(97)) == 5, F.concat("html", F.lit("<!-- -->"))).otherwise(F.col("html")))
+    added = pages.where(F.pmod("page_id", F.lit(499)) == 3).withColumn("page_id", F.col("page_id") + 10_000_000)
+    ours, theirs = (table(merkle_audit.archive_records(x)) for x in (pages, damaged.unionByName(added)))
     return merkle_audit.audit(ours, theirs)
 
 
@@ -60,9 +60,17 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_merkl
 
 ORACLE_SQL = {
     "op3_merkle_fixity_audit": """
-        WITH r AS (SELECT coalesce(page_id // 1024, -1) AS file, page_id AS record_id,
-                          strlen('WARC/1.0') + 3 + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) AS length FROM pages),
-             o AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY record_id) - length AS BIGINT) AS "offset" FROM r)
-        SELECT file, record_id, "offset", CASE WHEN record_id % 211 = 17 THEN 'missing' ELSE 'corrupt' END AS status
-        FROM o WHERE record_id % 211 = 17 OR record_id % 97 = 5""",
+        WITH b AS (SELECT page_id, url, html FROM pages WHERE page_id % 211 <> 17 OR page_id IS NULL),
+             damaged AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN html || '<!-- -->' ELSE html END AS html FROM b
+                         UNION ALL SELECT page_id + 10000000, url, html FROM pages WHERE page_id % 499 = 3),
+             e AS (SELECT chr(13) || chr(10) AS nl),
+             archive AS (SELECT *, CAST(sum(length) OVER (PARTITION BY replica, file ORDER BY page_id) - length AS BIGINT) AS "offset" FROM
+                (SELECT replica, page_id, page_id // 1024 AS file, text, strlen(text) AS length FROM
+                    (SELECT replica, page_id, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl
+                        || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS text
+                     FROM (SELECT 1 AS replica, * FROM pages UNION ALL SELECT 2, * FROM damaged), e)))
+        SELECT coalesce(a.file, d.file) AS file, coalesce(a.page_id, d.page_id) AS record_id, coalesce(a."offset", d."offset") AS "offset",
+               CASE WHEN d.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra' ELSE 'corrupt' END AS status
+        FROM (SELECT * FROM archive WHERE replica = 1) a FULL JOIN (SELECT * FROM archive WHERE replica = 2) d ON a.page_id = d.page_id
+        WHERE a.text IS DISTINCT FROM d.text""",
 }

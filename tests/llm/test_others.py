@@ -48,15 +48,33 @@ def test_audit_finds_what_differs(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("file", F.lit(1)).withColumn("offset", F.lit(1)).repartition(4)
     ours = merkle_audit.archive_records(df, pages_per_file=256).persist()
     assert merkle_audit.audit(ours, ours).count() == 0
-    bad = {17: "corrupt", 900: "corrupt", 901: "missing", 2999: "missing", 5000: "corrupt"}
-    theirs = ours.where(~F.col("record_id").isin([901, 2999]) | F.col("record_id").isNull()).withColumn("digest", F.when(F.col("record_id").isin([17, 900, 5000]), "0").otherwise(F.col("digest")))
-    theirs = theirs.unionByName(ours.where("record_id = 5").withColumn("record_id", F.lit(9999).cast("long")).withColumn("offset", F.col("offset") + 1))
-    got = {r.record_id: r.status for r in merkle_audit.audit(ours, theirs).collect()}
-    assert got == bad | {9999: "extra"}
+    bad = {17: "corrupt", 900: "corrupt", 901: "missing", 2999: "missing", 5000: "corrupt", 9999: "extra"}
+    damaged = df.where("page_id IS NULL OR page_id NOT IN (901, 2999)").withColumn("html", F.when(F.col("page_id").isin([17, 900, 5000]), "0").otherwise(F.col("html")))
+    damaged = damaged.unionByName(df.where("page_id = 5").withColumn("page_id", F.lit(9999).cast("long")))
+    theirs = merkle_audit.archive_records(damaged, pages_per_file=256)
+    got = merkle_audit.audit(ours, theirs).collect()
+    assert {r.record_id: r.status for r in got} == bad and len(got) == len(bad)
+    lone = merkle_audit.archive_records(df.where("page_id IS NOT NULL"), pages_per_file=256)
+    assert [(r.record_id, r.status) for r in merkle_audit.audit(ours, lone).collect()] == [(None, "missing")]
     assert merkle_audit.audit(ours.limit(0), ours.limit(0)).count() == 0
     assert merkle_audit.audit(ours.limit(0), ours).count() == ours.count()
 
 
+def test_warc_files_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}" if i % 5 else None, "é" * i + "\r\n\r\nWARC/1.0\r\n" if i % 7 == 0 else "x" * i) for i in range(40)] + [(40, "a\r\nb", None)], "page_id long, url string, html string")
+    ours = merkle_audit.archive_records(pages, pages_per_file=16)
+    text = merkle_audit.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    for row in pages.select(F.floor(F.col("page_id") / 16).alias("file"), "page_id", text.alias("t")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_id", "t"))).alias("r")).collect():
+        (tmp_path / f"{row.file}.warc").write_bytes(b"".join(x.t.encode() for x in row.r))
+    key = lambda df: sorted(tuple(r) for r in df.select("file", "record_id", "offset", "length", "digest").collect())
+    assert key(merkle_audit.read_warc(spark, str(tmp_path))) == key(ours)
+    data = bytearray((tmp_path / "1.warc").read_bytes())
+    data[len(data) // 2] ^= 1  # one bit
+    (tmp_path / "1.warc").write_bytes(bytes(data))
+    got = merkle_audit.audit(ours, merkle_audit.read_warc(spark, str(tmp_path))).collect()
+    assert {(r.file, r.status) for r in got} <= {(1, "corrupt"), (1, "missing"), (1, "extra")} and 1 <= len(got) <= 3
+
+
 def test_tree_changes_with_any_record(spark):
     df = spark.createDataFrame([(i, "u", f"h{i}") for i in range(100)], "page_id long, url string, html string")
     roots = set()
