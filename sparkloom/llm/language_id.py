@@ -7,6 +7,7 @@ probabilities come from two rounds of expectation maximisation over the words of
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -20,7 +21,7 @@ from .tokens import tokenizer_path
 
 UND = "und"
 RUN = re.compile(r"[^\W\d_]+")
-SLICE = 64  # a run of more letters is scored in slices
+LONG = 64  # words of more letters are read one by one, with a window of the sums, so that their length doesn't matter
 START = "▁"
 SCALE = 12.0  # a letter's share of probability is near 1 / SCALE; scaled so, long words stay within a double's range
 SMOOTH = 0.1
@@ -38,10 +39,49 @@ def piece_vocabulary(path: str) -> list[str]:
 
 
 def letter_words(text: str) -> list[str]:
-    runs = RUN.findall(text.lower())
-    if all(len(r) <= SLICE for r in runs):
-        return runs
-    return [r[i : i + SLICE] for r in runs for i in range(0, len(r), SLICE)]
+    return RUN.findall(text.lower())
+
+
+def pieces_at(word: str, end: int, index: dict[str, int], longest: int):
+    """(start, piece) of the pieces of a marked word that end at a place; a letter that is no piece is the unknown one."""
+    for start in range(max(0, end - longest), end):
+        k = index.get(word[start:end], len(index) if end - start == 1 else None)
+        if k is not None:
+            yield start, k
+
+
+def long_log_probability(word: str, index: dict[str, int], longest: int, prob: np.ndarray) -> np.ndarray:
+    """The log probability of a word in each language, the forward sum over all segmentations with the last `longest` sums at hand."""
+    word, size = START + word, longest + 1
+    ring, logs = np.zeros((size, prob.shape[1])), np.zeros(prob.shape[1])
+    ring[0] = 1
+    for end in range(1, len(word) + 1):
+        starts, ks = zip(*pieces_at(word, end, index, longest))
+        ring[end % size] = (ring[[s % size for s in starts]] * prob[list(ks)]).sum(axis=0)
+        if end % 16 == 0:
+            most = ring.max(axis=0)
+            ring /= most
+            logs += np.log(most)
+    return logs + np.log(np.maximum(ring[len(word) % size], 1e-300))
+
+
+def long_expected(word: str, index: dict[str, int], longest: int, log_prob: list[float]) -> Counter:
+    """Expected uses of each piece in a word, by logarithms of the sums from both ends."""
+
+    def log_sum(terms):
+        most = max(terms)
+        return most + math.log(sum(math.exp(t - most) for t in terms))
+
+    word = START + word
+    ahead, back = [0.0], [-math.inf] * len(word) + [0.0]
+    for end in range(1, len(word) + 1):
+        ahead.append(log_sum([ahead[s] + log_prob[k] for s, k in pieces_at(word, end, index, longest)]))
+    uses: Counter = Counter()
+    for end in range(len(word), 0, -1):
+        for s, k in pieces_at(word, end, index, longest):
+            uses[k] += math.exp(ahead[s] + log_prob[k] + back[end] - ahead[-1])
+            back[s] = log_sum([back[s], log_prob[k] + back[end]])
+    return uses
 
 
 class Lattice:
@@ -113,7 +153,7 @@ class Model:
         """Keep the log probabilities of new words."""
         if len(self.words) * len(self.languages) > MAX_CELLS:
             self.words, self.logs = {}, self.logs[:0]
-        new = list(dict.fromkeys(w for w in words if w not in self.words))
+        new = list(dict.fromkeys(w for w in words if len(w) <= LONG and w not in self.words))
         parts = [self.logs]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
@@ -141,7 +181,10 @@ class Model:
                 for lo in range(0, len(words), 100_000):
                     part = words[lo : lo + 100_000]
                     self.learn(part)
-                    logs = self.logs[np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))]
+                    places = np.fromiter((self.words.get(w, -1) for w in part), np.int64, len(part))
+                    logs = self.logs[np.maximum(places, 0)] if len(self.logs) else np.zeros((len(part), len(self.languages)))
+                    for j in np.flatnonzero(places < 0):
+                        logs[j] = long_log_probability(part[j], self.index, self.longest, self.prob)
                     owner = row[lo : lo + 100_000]
                     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                     total[owner[first]] += np.add.reduceat(logs, first, axis=0)
@@ -154,13 +197,14 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows_per_language: int = 5000, rounds: int = 2, path: str | None = None) -> Model:
-    """A model from rows of text, lang. Of each language about rows_per_language rows at most, chosen by a hash of the text.
+    """A model from rows of text, lang. Of each language about rows_per_language different texts at most, chosen by a hash of the text and weighted by
+    their copies, so a text with very many copies counts for its share and costs one row.
 
-    The driver gets the counts of rows by language and, each round, one number for each pair of language and piece.
+    The driver gets the numbers of different texts by language and, each round, one number for each pair of language and piece.
     """
     pieces = piece_vocabulary(path or tokenizer_path("piece_bpe_32k.model"))
     rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     languages = sorted(counts)
     prob = np.full((len(pieces) + 1, max(1, len(languages))), 1 / len(pieces))
     prob[-1] = UNKNOWN
@@ -168,13 +212,15 @@ def fit(labelled: DataFrame, rows_per_language: int = 5000, rounds: int = 2, pat
     if not languages:
         return model
     share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, rows_per_language / counts[k])))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).groupBy("text", "lang").agg(F.count("*").alias("copies"))
 
     def count(batches):
         for batch in batches:
             found: dict[str, Counter] = {}
-            for t, k in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                found.setdefault(k, Counter()).update(letter_words(t))
+            for t, k, copies in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), batch.column("copies").to_pylist()):
+                mine = found.setdefault(k, Counter())
+                for w, n in Counter(letter_words(t)).items():
+                    mine[w] += n * copies
             for k, c in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -188,7 +234,11 @@ def fit(labelled: DataFrame, rows_per_language: int = 5000, rounds: int = 2, pat
             for batch in batches:
                 langs, found, n = np.array(batch.column("lang").to_pylist()), batch.column("word").to_pylist(), batch.column("n").to_numpy()
                 for k, name in enumerate(own.languages):
-                    mine = np.flatnonzero(langs == name)
+                    log_prob = np.log(own.prob[:, k]).tolist()
+                    for j in (j for j in np.flatnonzero(langs == name) if len(found[j]) > LONG):
+                        for p, uses in long_expected(found[j], own.index, own.longest, log_prob).items():
+                            out[k, p] += uses * n[j]
+                    mine = np.array([j for j in np.flatnonzero(langs == name) if len(found[j]) <= LONG], np.int64)
                     for at in range(0, len(mine), 4096):
                         i = mine[at : at + 4096]
                         lattice = Lattice([found[j] for j in i], own.index, own.longest)

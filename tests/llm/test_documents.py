@@ -54,6 +54,54 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(model.logs[:, 0]), [0.4 * 0.1 * 0.2 + 0.4 * 0.3 + 0.5 * 0.2, 0.4 * 0.2])
 
 
+def segmentations(word, index, longest):
+    """All ways to cut a marked word into pieces."""
+    if not word:
+        yield ()
+    for b in range(1, min(len(word), longest) + 1):
+        k = index.get(word[:b], len(index) if b == 1 else None)
+        if k is not None:
+            for rest in segmentations(word[b:], index, longest):
+                yield (k, *rest)
+
+
+@pytest.mark.parametrize("word", ["ab", "abba", "baxab", "aaaab"])
+def test_sums_and_expectations_match_all_segmentations(word):
+    index = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aa", language_id.START, language_id.START + "a"])}
+    prob = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.05], [0.1, 0.1], [0.15, 0.05], [0.4, 0.3], [0.5, 0.2], [1e-3, 1e-3]])
+    ways = list(segmentations(language_id.START + word, index, 2))
+    each = np.array([[np.prod([prob[k, j] for k in way]) for j in range(2)] for way in ways])
+    model = language_id.Model(["l", "m"], list(index), prob)
+    model.learn([word])
+    assert np.allclose(model.logs[0], np.log(each.sum(axis=0)))
+    assert np.allclose(language_id.long_log_probability(word, index, 2, prob), model.logs[0])
+    want = Counter()
+    for way, p in zip(ways, each[:, 0] / each[:, 0].sum()):
+        for k in way:
+            want[k] += p
+    lattice = language_id.Lattice([word], index, 2)
+    uses = lattice.expected(model.scaled(lattice, [0]), np.array([1.0]))
+    got = np.bincount(lattice.p, uses, len(prob))
+    assert np.allclose(got, [want[k] for k in range(len(prob))])
+    slow = language_id.long_expected(word, index, 2, np.log(prob[:, 0]).tolist())
+    assert np.allclose([slow[k] for k in range(len(prob))], got)
+
+
+def test_long_words_are_read_whole(make):
+    rows = [(i, SAMPLES[k] * 3, k) for i, k in enumerate(["en", "de", "fr"] * 20)]
+    long = {k: "".join(SAMPLES[k].split()) * 400 for k in SAMPLES}
+    rows += [(100 + i, long[k], k) for i, k in enumerate(SAMPLES)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(make(rows)).collect()}
+    assert all(got[i] == k for i, _, k in rows)
+
+
+def test_copies_of_one_text_dont_crowd_out_a_language(make):
+    rows = [(i, SAMPLES["en"], "en") for i in range(300)] + [(1000 + i, SAMPLES["de"] + str(i), "de") for i in range(30)]
+    model = language_id.fit(make(rows).select("text", "lang"), rows_per_language=10)
+    names, _ = model.predict(["the people were talking", "die leute sprachen"])
+    assert names == ["en", "de"]
+
+
 def test_language_id_without_rows(make):
     assert language_id.identify(make(EMPTY)).count() == 0
     assert language_id.drop_unidentified(make(EMPTY)).columns == make(EMPTY).columns
