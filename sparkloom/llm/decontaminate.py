@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_filter, id_hash, passes, table
+from .common import forget, id_filter, id_hash, passes, table
 from .shingles import LOOSE, mix, texts, word_keys
 
 N = 3
@@ -158,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     rare = lambda c: F.col(c) <= F.percentile(c, F.lit(0.25)).over(Window.partitionBy("item")) * RARE_TIMES + RARE_MORE
     seeds = ranked.withColumn("rare", rare("alone") | rare("docs")).where("docs is null or rare")
     seeds = table(seeds.withColumn("own", F.size(F.collect_set("gram").over(Window.partitionBy("item")))).select("item", "size", "place", "gram", "own"))
+    forget(sets)
     seed_bits = bits_of(seeds)
 
     def hits(batches):

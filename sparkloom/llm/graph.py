@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,8 +24,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: to all smaller neighbours and the node itself, the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        state = table(large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        old, state = state, table(large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        forget(old)
         if now == before:
             break
         before = now

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, id_hash, passes, table
+from .common import forget, id_filter, id_hash, passes, table
 from .graph import connected_components
 from .shingles import mix, shingle_sets
 
@@ -23,7 +23,7 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: A pair is verified if its estimate is not under the threshold by more than this: over six standard errors of 128 registers.
 MARGIN = 0.24
 CROWD = 32  # members that share an element are compared with each other up to this number, beyond it with one of them first
-ROUNDS = 4
+ROUNDS = 2
 _KEYS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _ODD = mix(_KEYS) | np.uint64(1)
 
@@ -190,11 +190,13 @@ def _across(members: DataFrame, centre: DataFrame, sets: DataFrame, first: DataF
         stars = table(crowds.join(chosen.select("c", "token", (-F.col("best.minus")).alias("y")), ["c", "token"]).select("x", "y").where("x != y").distinct())
         more = table(linked(pairs.unionByName(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()))
         if not more.isEmpty():
-            whole = table(connected_components(table(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))))
+            whole = table(connected_components(edges := table(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))))
+            forget(edges)
         # who is still apart from others of its crowd
         known = stars.join(whole.withColumnRenamed("node", "x"), "x", "left").select("x", F.col("y").alias("c"), F.coalesce("component", "x").alias("part"))
         apart = known.groupBy("c").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("c")
         held = table(known.join(apart, "c", "left_semi"))
+        forget(tokens, shared, stars, more)
         rounds += 1
         if held.isEmpty():
             return whole
@@ -232,6 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     whole = _across(members, centre, sets, first, lambda pairs: _links(_likely(pairs.join(links, ["a", "b"], "left_anti"), nodes, percent / 100), sets, percent), percent)
 
+    forget(members, centre, sets, links)
     named = groups.join(whole, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

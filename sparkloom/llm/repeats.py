@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, table
+from .common import forget, passes, table
 from .shingles import mix, utf8
 
 FIRST, DOUBLINGS = 25, 1
@@ -156,7 +156,7 @@ def _rows(parts, schema: str) -> pa.RecordBatch:
 
 
 def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """ta, tb, spans: for texts (ta, tb name the text; text) the sorted byte spans that strings of LENGTH bytes cover which
+    """ta, tb, spans (a table): for texts (ta, tb name the text; text) the sorted byte spans that strings of LENGTH bytes cover which
     start anywhere else too. Texts without any are left out.
 
     bits: the size of the bitmaps that tell tasks which texts, segments and groups go on, fixed whatever the input; a false
@@ -263,6 +263,7 @@ def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
     partly = chosen.join(by_segment, [*TEXT, "seg"]).select("bucket", "ka", "kb", "skip", "reach")
     covered = kinds.join(partly, ["bucket", "ka", "kb"], "left").where("n > 1 OR skip is not null")
     covered = table(covered.select("bucket", "ka", "kb", F.when(F.col("n") > 1, 0).otherwise(F.col("skip")).alias("skip"), F.when(F.col("n") == 1, F.col("reach")).alias("reach")))
+    forget(suffixes)
     bucket_bits = share(key_filter(covered, "bucket", bits))
 
     @F.arrow_udf("boolean")
@@ -271,7 +272,9 @@ def repeated_spans(texts: DataFrame, bits: int = 1 << 25) -> DataFrame:
 
     cover = segs.where(may_repeat("bucket")).join(covered, ["bucket", "ka", "kb"])
     cover = cover.select(*TEXT, (F.col("lo") + F.col("skip")).alias("start"), (F.coalesce(F.col("lo") + F.col("reach"), F.col("hi")) + LENGTH).alias("end"))
-    return cover.groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    out = table(cover.groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    forget(segs, kinds, chosen, groups, spans, going, covered)
+    return out
 
 
 def _kinds(rows: DataFrame, bucket: list[str], kind: list[str], place: list[str]) -> DataFrame:
@@ -295,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(7), text).alias("tb"))
-    cover = table(repeated_spans(rows.select(*TEXT, "text")))
+    cover = repeated_spans(rows.select(*TEXT, "text"))
     covered = docs.sparkSession.sparkContext.broadcast(key_filter(cover, "ta", 1 << 23))
 
     @F.arrow_udf("boolean")

@@ -1,7 +1,8 @@
 """Keys of words and of word shingles for Arrow columns of text.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. Its key is the 128-bit BLAKE2b digest of its
-bytes as two numbers of 64 bits, and a shingle's key is made of those of its words, so different shingles share one by chance only.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. Its key has 128 bits, as two numbers: those of up to 16 bytes
+are mixed from the bytes themselves, so no two such words share a key; longer words have their BLAKE2b digest. A shingle's key is made
+of those of its words, so different shingles share one by chance only.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 20  # bytes of a text that are cut into words at once
-MAX_WORDS = 1 << 20
 _SPACE = re.compile(rb"[\x09-\x0d\x20]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Breaks between words that are compared without punctuation: space and ASCII characters that are no letter or digit.
 LOOSE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -38,32 +40,25 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-class WordKeys(dict):
-    """Words to places in an array of their keys; both are dropped when there are too many words."""
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first k bytes of 8
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def __init__(self):
-        super().__init__()
-        self.digests: list[bytes] = []
-        self.keys_known = np.zeros((0, 2), np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.digests)
-        self.digests.append(hashlib.blake2b(word, digest_size=16).digest())
-        return at
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """uint64[len(words), 2]."""
-        if len(self.digests) > MAX_WORDS:
-            self.clear()
-            self.digests, self.keys_known = [], self.keys_known[:0]
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.keys_known) < len(self.digests):
-            fresh = np.frombuffer(b"".join(self.digests[len(self.keys_known) :]), "<u8").reshape(-1, 2)
-            self.keys_known = np.concatenate([self.keys_known, fresh])
-        return self.keys_known[at]
-
-
-_KEYS = WordKeys()
+def _keys(part: bytes) -> np.ndarray:
+    """The keys of the words of some bytes, lower-cased before."""
+    padded = np.frombuffer(part + bytes(16), np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[padded[: len(part)]], prepend=True, append=True))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.lib.stride_tricks.as_strided(padded.view("<u1")[:8].view("<u8"), shape=(len(padded) - 7,), strides=(1,))  # the 8 bytes from each place on
+    low = eight[starts] & _MASKS[np.minimum(sizes, 8)]
+    high = eight[starts + 8 * (sizes > 8)] & _MASKS[np.clip(sizes - 8, 0, 8)]
+    out = np.empty((len(starts), 2), np.uint64)
+    with np.errstate(over="ignore"):
+        out[:, 0] = mix(mix(low) + high * _ODD + sizes.astype(np.uint64))
+        out[:, 1] = mix(mix(high ^ _ODD) + low)
+    for i in np.flatnonzero(sizes > 16):
+        out[i] = np.frombuffer(hashlib.blake2b(part[starts[i] : starts[i] + sizes[i]], digest_size=16).digest(), "<u8")
+    return out
 
 
 def word_keys(text: bytes, breaks: bytes | None = None) -> np.ndarray:
@@ -73,9 +68,9 @@ def word_keys(text: bytes, breaks: bytes | None = None) -> np.ndarray:
         cut = _SPACE.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
         end = cut.start() if cut else len(text)
         part = text[at:end].lower()
-        parts.append(_KEYS.of((part.translate(breaks) if breaks else part).split()))
+        parts.append(_keys(part.translate(breaks) if breaks else part))
         at = end
-    return np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros((0, 2), np.uint64)
 
 
 def texts(column: pa.Array) -> list[bytes]:
