@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import document as doc
@@ -82,7 +84,7 @@ class KeyValue:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
         if not spark.catalog.tableExists(name):
-            catalog.create_collection(spark.createDataFrame([], self.SCHEMA), name)
+            catalog.create_collection(spark.createDataFrame([], self.SCHEMA), name, kind="keys")
 
     @property
     def log(self) -> DataFrame:
@@ -161,7 +163,7 @@ class Queues:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
         if not spark.catalog.tableExists(name):
-            catalog.create_collection(spark.createDataFrame([], self.SCHEMA), name)
+            catalog.create_collection(spark.createDataFrame([], self.SCHEMA), name, kind="queues")
 
     @property
     def messages(self) -> DataFrame:
@@ -173,6 +175,13 @@ class Queues:
         empty = self.messages.limit(0)
         queue.push(empty, rows, F.lit(now), delay_seconds).write.insertInto(self.name)
 
+    def push_batch(self, name: str, messages: list[tuple[str, str]], now: dt.datetime, delay_seconds: int = 0) -> None:
+        """(id, data) of each message, in order; more than PUSH_MOST raise ValueError. Larger batches: push, with a DataFrame."""
+        if len(messages) > queue.PUSH_MOST:
+            raise ValueError(f"more than {queue.PUSH_MOST} messages")
+        rows = [(name, i, data, now + dt.timedelta(microseconds=k)) for k, (i, data) in enumerate(messages)]
+        self.push(self.spark.createDataFrame(rows, "queue string, id string, data string, created_at timestamp"), now, delay_seconds)
+
     def peek(self, name: str, now: dt.datetime, n: int = 10) -> DataFrame:
         return queue.peek(self.messages, name, F.lit(now), n)
 
@@ -190,6 +199,10 @@ class Queues:
         catalog.replace_rows(queue.ack(self.messages, self._ids(ids)), self.name)
 
     def nack(self, ids: list[str], now: dt.datetime) -> None:
+        """An unknown id raises ValueError, and none is given back."""
+        unknown = self._ids(ids).join(self.messages, "id", "left_anti").limit(1).collect()
+        if unknown:
+            raise ValueError(f"no message {unknown[0].id}")
         catalog.replace_rows(queue.nack(self.messages, self._ids(ids), F.lit(now)), self.name)
 
     def stats(self) -> DataFrame:
@@ -212,9 +225,17 @@ class Topic:
     def create(cls, spark: SparkSession, name: str, partitions: int = 1) -> Topic:
         """An existing topic raises ValueError; under 1 partition is 1."""
         schema = "topic string, partition_key string, timestamp timestamp, seq long, data string, headers map<string,string>, partition int, offset long"
-        catalog.create_collection(spark.createDataFrame([], schema), name, {"partitions": str(max(1, partitions))})
+        catalog.create_collection(spark.createDataFrame([], schema), name, {"partitions": str(max(1, partitions))}, kind="topic")
+        catalog.create_collection(spark.createDataFrame([], cls.OFFSETS), f"{name}__offsets", kind="offsets")
         return cls(spark, name)
 
+    #: What consumers and groups did: role is consumer, group or member; a later row of one place replaces an earlier one.
+    OFFSETS = "role string, owner string, member string, partition int, offset long, at timestamp, seq long"
+
+    @staticmethod
+    def names(spark: SparkSession) -> list[str]:
+        return catalog.list_collections(spark, "topic")
+
     @property
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -231,6 +252,102 @@ class Topic:
         base = self.rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
         log.publish(named, self.partitions, base).select(*self.rows.columns).write.insertInto(self.name)
 
+    def publish_batch(self, records: list[tuple[str | None, str, dict[str, str] | None]], now: dt.datetime) -> None:
+        """(partition key, data, headers) of each record, in order; more than PUBLISH_MOST raise ValueError. Larger batches: publish, with a DataFrame."""
+        if len(records) > log.PUBLISH_MOST:
+            raise ValueError(f"more than {log.PUBLISH_MOST} records")
+        start = (self.rows.agg(F.max("seq")).first()[0] or 0) + 1
+        rows = [(key, now, start + i, data, headers) for i, (key, data, headers) in enumerate(records)]
+        self.publish(self.spark.createDataFrame(rows, "partition_key string, timestamp timestamp, seq long, data string, headers map<string,string>"))
+
+    def produce(self, records: DataFrame, attempts: int = 3, wait_seconds: float = 0.1) -> None:
+        """publish() with an idempotency key for each record, again after a failure, each time after twice the wait. Bad records raise ValueError at once."""
+        folder = f"{catalog._versions(self.spark, self.name)}-outbox/{uuid.uuid4().hex}"
+        log.with_idempotency_keys(records).write.parquet(folder)  # all attempts publish the same keys
+        ready = self.spark.read.parquet(folder)
+        for k in range(attempts):
+            try:
+                self.publish(ready)
+                break
+            except ValueError:
+                raise
+            except Exception:
+                if k == attempts - 1:
+                    raise
+                time.sleep(wait_seconds * 2**k)
+        where, fs = catalog._files(self.spark, folder)
+        fs.delete(where, True)
+
+    def once(self) -> DataFrame:
+        """The records, those with one idempotency key once."""
+        keyed = self.rows.withColumn("__key", F.element_at("headers", F.lit(log.IDEMPOTENCY_HEADER)))
+        return log.deduplicate(keyed, "__key").drop("__key")
+
+    @property
+    def _offsets(self) -> DataFrame:
+        return self.spark.table(f"{self.name}__offsets")
+
+    def _note(self, role: str, owner: str, member: str | None, partition: int, offset: int | None, at: dt.datetime | None) -> None:
+        if not owner:
+            raise ValueError("no name of a consumer or group")
+        seq = (self._offsets.agg(F.max("seq")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(role, owner, member, partition, offset, at, seq)], self.OFFSETS).write.insertInto(f"{self.name}__offsets")
+
+    def _latest(self, role: str) -> DataFrame:
+        rows = self._offsets.where(F.col("role") == role)
+        return rows.groupBy("owner", "member", "partition").agg(F.max_by(F.struct("offset", "at"), "seq").alias("s")).select("owner", "member", "partition", "s.offset", "s.at")
+
+    def _offset_of(self, role: str, owner: str, partition: int) -> int:
+        row = self._latest(role).where((F.col("owner") == owner) & (F.col("partition") == partition)).first()
+        return row.offset if row else 0
+
+    def seek(self, consumer: str, partition: int, offset: int) -> None:
+        if offset < 0:
+            raise ValueError("negative offset")
+        self._note("consumer", consumer, None, partition, offset, None)
+
+    def offset(self, consumer: str, partition: int) -> int:
+        """Where a consumer stands; 0 if it never moved."""
+        return self._offset_of("consumer", consumer, partition)
+
+    def commit(self, group: str, partition: int, offset: int) -> None:
+        self._note("group", group, None, partition, offset, None)
+
+    def committed(self, group: str, partition: int) -> int:
+        return self._offset_of("group", group, partition)
+
+    def join(self, group: str, member: str, now: dt.datetime) -> None:
+        """Enter a group, or say that one is still there."""
+        self._note("member", group, member, 0, 1, now)
+
+    def leave(self, group: str, member: str, now: dt.datetime) -> None:
+        self._note("member", group, member, 0, 0, now)
+
+    def members(self, group: str, now: dt.datetime, timeout_seconds: int = 10) -> DataFrame:
+        """group, member of those who joined, or said so again, within the timeout and did not leave."""
+        there = self._latest("member").where((F.col("owner") == group) & (F.col("offset") == 1)).select(F.col("owner").alias("group"), "member", "at")
+        return log.live_members(there, F.lit(now), timeout_seconds)
+
+    def assignment(self, group: str, now: dt.datetime, timeout_seconds: int = 10) -> DataFrame:
+        """group, partition, member."""
+        return log.assignment(self.members(group, now, timeout_seconds), self.partitions)
+
+    def lag(self, group: str) -> DataFrame:
+        """topic, group, partition, committed, next_offset, lag."""
+        partitions = self.spark.range(self.partitions).select(F.col("id").cast("int").alias("partition"))
+        held = self._latest("group").where(F.col("owner") == group).select("partition", "offset")
+        committed = partitions.join(held, "partition", "left").select(F.lit(self.name).alias("topic"), F.lit(group).alias("group"), "partition", F.coalesce("offset", F.lit(0)).alias("committed"))
+        return log.lag(self.rows, committed)
+
+    def poll(self, group: str, member: str, now: dt.datetime, limit: int = log.READ_DEFAULT) -> DataFrame:
+        """The next records after what the group committed, of each partition that the member is assigned; those whose time has run out are left out."""
+        mine = self.assignment(group, now).where(F.col("member") == member).select("partition")
+        committed = self._latest("group").where(F.col("owner") == group).select("partition", F.col("offset").alias("__from"))
+        rows = log.expire(self.rows, F.lit(now)).join(F.broadcast(mine), "partition", "left_semi").join(F.broadcast(committed), "partition", "left")  # a row for each partition
+        rows = rows.where(F.col("offset") >= F.coalesce("__from", F.lit(0))).drop("__from")
+        place = F.row_number().over(Window.partitionBy("partition").orderBy("offset"))
+        return rows.withColumn("__n", place).where(F.col("__n") <= limit).drop("__n")
+
     def read(self, partition: int, offset: int = 0, limit: int = log.READ_DEFAULT) -> DataFrame:
         return log.read(self.rows, self.name, partition, offset, limit)
 
@@ -245,3 +362,4 @@ class Topic:
 
     def drop(self) -> None:
         catalog.drop_collection(self.spark, self.name)
+        catalog.drop_collection(self.spark, f"{self.name}__offsets")

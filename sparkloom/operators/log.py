@@ -9,6 +9,9 @@ from ..functions.keys import partition_of
 
 MOST_BYTES = 10 * 1024 * 1024
 READ_DEFAULT = 10
+PUBLISH_MOST = 10_000  # records of one list that is published
+# Fixed value: the header of a producer's key for one record.
+IDEMPOTENCY_HEADER = "x-idempotency-key"
 
 
 def reject_reason(topic: Column, data: Column) -> Column:
@@ -27,6 +30,13 @@ def publish(records: DataFrame, partitions: int, base: DataFrame | None = None,
     return out.withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0))).drop("next_offset")
 
 
+def with_idempotency_keys(records: DataFrame, headers: str = "headers") -> DataFrame:
+    """Records without the header of an idempotency key get a UUID there; `deduplicate` by it makes a record that was published again count once."""
+    own = F.create_map(F.lit(IDEMPOTENCY_HEADER), F.uuid())
+    held = F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))
+    return records.withColumn(headers, F.when(F.map_contains_key(held, F.lit(IDEMPOTENCY_HEADER)), held).otherwise(F.map_concat(held, own)))
+
+
 def expire(log: DataFrame, now: Column) -> DataFrame:
     """Without messages whose header `ttl` (such as 1h30m, 10s, 250ms) has run out; an invalid ttl is no ttl."""
     text = F.element_at("headers", F.lit("ttl"))

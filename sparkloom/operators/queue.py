@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BATCH_MOST, PUSH_MOST = 100, 5000
+BATCH_MOST, PUSH_MOST = 100, 5000  # messages of one pop, and of one list that is pushed
 
 
 def push(messages: DataFrame, new: DataFrame, now: Column, delay_seconds: int = 0) -> DataFrame:

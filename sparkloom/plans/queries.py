@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import glob
 from ..operators import document as doc
 from ..operators import kv, log, queue
-from ..sources.tables import kv_log, load, log_records, queue_messages
+from ..session import shared_folder
+from ..sources.tables import backup, kv_log, load, log_records, queue_messages, restore
 from ..streaming import consume
 
 NOW = "2024-01-31 00:00:00"
@@ -202,6 +203,20 @@ def insert_many_unordered(spark, sf):
     return doc.insert_many(all_rows.where("s_suppkey % 2 = 0"), all_rows.unionByName(all_rows), "s_suppkey")
 
 
+@query("SELECT * FROM supplier")
+def insert_many_ordered(spark, sf):
+    all_rows = load(spark, sf, "supplier")
+    return doc.insert_many(all_rows.where("s_suppkey % 2 = 0"), all_rows.where("s_suppkey % 2 = 1"), "s_suppkey", ordered=True)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def backup_restore(spark, sf):
+    """A copy of a collection in the folder that all executors share, read back."""
+    path = f"{shared_folder(spark)}/backup-{uuid.uuid4().hex}"
+    backup(load(spark, sf, "nation"), path)
+    return restore(spark, path)
+
+
 @query("SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'ONE' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 3 UNION ALL SELECT 50, 'FIFTY'")
 def bulk_write(spark, sf):
     done, _ = doc.bulk_write(load(spark, sf, "region"), [
@@ -487,6 +502,15 @@ def st_assignment(spark, sf):
     return log.assignment(spark.createDataFrame([("g", "c"), ("g", "a"), ("g", "b"), ("g", "a")], "group string, member string"), PARTITIONS)
 
 
+@query(f"""SELECT 'g' || user_id % 5 AS "group", 'm' || user_id AS member FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 2 DAYS > (SELECT max(ts) FROM events)""")
+def st_live_members(spark, sf):
+    """Every event is a heartbeat of its user; the last event is the time now."""
+    events = load(spark, sf, "events")
+    beats = events.select(F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string")).alias("group"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("member"), F.col("ts").alias("at"))
+    last = events.agg(F.max("ts")).first()[0]
+    return log.live_members(beats, F.lit(last).cast("timestamp_ntz"), 2 * 86400)
+
+
 @query("SELECT 't' AS topic, 'c1' AS consumer, CAST(p AS INTEGER) AS \"partition\", CAST(CASE WHEN p = 1 THEN 42 ELSE 0 END AS BIGINT) AS \"offset\" FROM range(3) t(p)")
 def st_seek(spark, sf):
     row = lambda c: spark.range(3).select(F.lit("t").alias("topic"), F.lit("c1").alias("consumer"), F.col("id").cast("int").alias("partition"), c.cast("long").alias("offset"))
@@ -518,8 +542,7 @@ def st_publish_validation(spark, sf):
 def st_stream_consume(spark, sf):
     """Structured Streaming over the events table: each micro-batch goes to a folder that all executors share."""
     batch = load(spark, sf, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    out = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{id(batch)}"
+    out = f"{shared_folder(spark)}/consume-{uuid.uuid4().hex}"
     # a folder of files is what a file stream watches
     batch.write.parquet(f"{out}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"{out}/in").where("event_type = 'purchase'").select(F.col("event_id").alias("seq"), "ts")

@@ -33,3 +33,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(out))
         _SHIPPED.add(app)
     return spark
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Without one, a session on this machine alone has a temporary folder, any other raises
+    RuntimeError: each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-"))

@@ -36,6 +36,9 @@ def test_collection(db):
     assert users.bulk_write([{"update_one": {"spec": {"_id": 1}, "update": {"$set": {"name": "Anna"}}}}]) == []
     assert {(r._id, r.name, r.age) for r in users.rows.collect()} == {(1, "Anna", 30), (2, "Bob", 21), (4, "Di", 26)}
     assert users.count() == 3 and catalog.list_indexes(db, "users")["by_name"]["unique"] and catalog.options(db, "users") == {"capped": "false"}
+    users.update_many({"name": "Bob"}, {"$set": {"city": "Oslo"}, "$inc": {"age": 0.5}})  # a new column, and a type that changes
+    assert {(r.name, r.age, r.city) for r in users.rows.collect()} == {("Anna", 30, None), ("Bob", 21.5, "Oslo"), ("Di", 26, None)}
+    assert catalog.list_indexes(db, "users")["by_name"]["unique"] and catalog.options(db, "users") == {"capped": "false"}
     catalog.drop_index(db, "users", "by_name")
     assert catalog.list_indexes(db, "users") == {} and "users" in catalog.list_collections(db)
     catalog.drop_collection(db, "users")
@@ -85,8 +88,14 @@ def test_queues(db):
     assert [r.data for r in q.pop("q", T0 + dt.timedelta(seconds=1))] == ["msg2"]
     s = q.stats().first()
     assert (s["size"], s.pending) == (0, 4)
+    with pytest.raises(ValueError):
+        q.nack(["2", "nothing"], T0)
     q.purge("q")
     assert q.messages.count() == 0
+    q.push_batch("b", [("x", "1"), ("y", "2")], T0)
+    assert [r.id for r in q.peek("b", T0 + dt.timedelta(seconds=1)).collect()] == ["x", "y"]
+    with pytest.raises(ValueError):
+        q.push_batch("b", [(str(i), "d") for i in range(5001)], T0)
 
 
 def test_topic(db):
@@ -106,3 +115,39 @@ def test_topic(db):
     t.publish(records)
     assert min(r.offset for r in t.rows.collect()) == 0 and t.partitions == 2
     t.drop()
+
+
+def test_consumers_and_groups(db):
+    t = api.Topic.create(db, "topic_g", 3)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    assert "topic_g" in api.Topic.names(db) and "topic_g" not in catalog.list_collections(db)
+    t.publish_batch([(f"k{i}", f"m{i}", {"ttl": "5s"} if i == 0 else None) for i in range(20)], T0)
+    with pytest.raises(ValueError):
+        t.publish_batch([("k", "m", None)] * 10_001, T0)
+    assert t.offset("c", 1) == 0
+    t.seek("c", 1, 7)
+    t.seek("c", 1, 3)
+    assert t.offset("c", 1) == 3 and t.offset("c", 0) == 0
+    for m in "ba":
+        t.join("g", m, at(1))
+    t.join("g", "late", at(-20))
+    assert {r.member for r in t.members("g", at(2)).collect()} == {"a", "b"}
+    owner = {r.partition: r.member for r in t.assignment("g", at(2)).collect()}
+    assert owner == {0: "a", 1: "b", 2: "a"}
+    seen = {(r.partition, r.offset) for m in "ab" for r in t.poll("g", m, at(2), 100).collect()}
+    assert len(seen) == 20 and len([r for m in "ab" for r in t.poll("g", m, at(9), 100).collect()]) == 19
+    ends = {p: max(o for q, o in seen if q == p) + 1 for p in range(3)}
+    for p, end in ends.items():
+        t.commit("g", p, end - 1)
+    assert {r.partition: r.lag for r in t.lag("g").collect()} == dict.fromkeys(range(3), 1)
+    assert [r.offset for r in t.poll("g", "b", at(2)).collect()] == [ends[1] - 1]
+    t.leave("g", "a", at(3))
+    assert {r.member for r in t.members("g", at(3)).collect()} == {"b"}
+    records = db.createDataFrame([("k", at(4), 1000 + i, f"p{i}", {"a": "b"} if i else None) for i in range(3)], "partition_key string, timestamp timestamp, seq long, data string, headers map<string,string>")
+    t.produce(records)
+    made = t.rows.where("data like 'p%'")
+    assert made.where("headers['x-idempotency-key'] IS NULL").count() == 0
+    t.publish(made.select("partition_key", "timestamp", "seq", "data", "headers"))  # the same again
+    assert t.rows.count() == 26 and t.once().count() == 23
+    t.drop()
+    assert "topic_g" not in api.Topic.names(db)
