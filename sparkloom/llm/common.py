@@ -85,16 +85,21 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[hashes >> 6] >> (hashes & 63)) & 1 == 1
 
 
-def place_in(df: DataFrame, cell: str, order: list[str], rows_per_slice: int = 1024) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has been counted to have no more than so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def place_in(df: DataFrame, cell: str, order: list[str], rows_per_slice: int = 1024, cells: int = 4096) -> DataFrame:
     """Adds cell_place, the gapless place (from 0) of a row among the rows of its cell, and cell_rows, their number.
 
     A cell is dealt into slices by a hash of the order columns, one for every rows_per_slice of its rows, so that a cell
     that holds a third of the table is split like any other; a place is the rows of lower slices and those before it in
-    its own slice. Cells must be of a bounded number (a grid's cells, lengths up to a capacity), as their counts are broadcast.
-    df is read three times: give it a table. The place follows the order columns within a slice only.
+    its own slice. Counts of up to `cells` cells are broadcast, of more they are joined by shuffles.
+    df is read four times: give it a table. The place follows the order columns within a slice only.
     """
     counts = df.groupBy(cell).agg(F.count("*").alias("cell_rows"))
-    cut = df.join(F.broadcast(counts), cell).withColumn("slice", F.pmod(F.xxhash64(*order, F.lit(7)), F.ceil(F.col("cell_rows") / rows_per_slice)).cast("int"))
+    cut = df.join(small(counts, cells), cell).withColumn("slice", F.pmod(F.xxhash64(*order, F.lit(7)), F.ceil(F.col("cell_rows") / rows_per_slice)).cast("int"))
     sizes = cut.groupBy(cell, "slice").agg(F.count("*").alias("slice_rows"))
     below = Window.partitionBy(cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(cell, "slice", F.coalesce(F.sum("slice_rows").over(below), F.lit(0)).alias("slice_start"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import place_in, table
+from .common import place_in, small, table
+
+CELLS = 1 << 12  # of the grid by default; counts of more cells are not broadcast
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -55,11 +57,11 @@ def cut_runs(df: DataFrame, cell: str, order: list[str], shards: int) -> DataFra
     The place of a row in the whole order is the rows of lower cells and its place in its own (see place_in), so no task
     ever sees the whole table.
     """
-    # a row for each cell of the grid that is not empty: at most 2 ** (dims * bits), 4096 by default
+    # a row for each cell of the grid that is not empty: at most 2 ** (dims * bits)
     starts = df.groupBy(cell).agg(F.count("*").alias("n"))
     below = F.sum("n").over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select(cell, F.coalesce(below, F.lit(0)).alias("cell_start"), F.sum("n").over(Window.partitionBy()).alias("rows_all"))
-    placed = place_in(df, cell, order).join(F.broadcast(starts), cell).withColumn("place", F.col("cell_start") + F.col("cell_place"))
+    placed = place_in(df, cell, order, cells=CELLS).join(small(starts, CELLS), cell).withColumn("place", F.col("cell_start") + F.col("cell_place"))
     # run i starts at ceil(i * rows / shards): counts differ by one at most
     whole = lambda a, b: ((a - F.pmod(a, b)) / b).cast("long")
     placed = placed.withColumn("shard", whole(F.col("place") * shards, F.col("rows_all")).cast("int"))
