@@ -14,6 +14,8 @@ from .operators import document as doc
 from .operators import kv, log, queue
 from .sources import catalog
 
+SLICE_ROWS = 4_000_000  # records of a partition that one task numbers
+
 
 class Collection:
     """A document collection. Reads are DataFrames; mutations write the new rows in the table's place."""
@@ -250,7 +252,8 @@ class Topic:
         if not named.where(log.reject_reason(F.col("topic"), F.col("data")).isNotNull()).isEmpty():
             raise ValueError("a record has no data or too much")
         base = self.rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
-        log.publish(named, self.partitions, base).select(*self.rows.columns).write.insertInto(self.name)
+        slices = max(1, named.count() // (self.partitions * SLICE_ROWS))
+        log.publish(named, self.partitions, base, slices=slices).select(*self.rows.columns).write.insertInto(self.name)
 
     def publish_batch(self, records: list[tuple[str | None, str, dict[str, str] | None]], now: dt.datetime) -> None:
         """(partition key, data, headers) of each record, in order; more than PUBLISH_MOST raise ValueError. Larger batches: publish, with a DataFrame."""

@@ -19,11 +19,27 @@ def reject_reason(topic: Column, data: Column) -> Column:
     return F.when(topic.isNull() | (topic == ""), "empty topic").when(data.isNull() | (F.octet_length(data) == 0), "empty data").when(F.octet_length(data) > MOST_BYTES, "too large")
 
 
-def publish(records: DataFrame, partitions: int, base: DataFrame | None = None, order: tuple[str, ...] = ("timestamp", "seq")) -> DataFrame:
-    """Adds partition (by key, or by turns) and offset: gapless in each (topic, partition), after `base` (topic, partition, next_offset)."""
+def publish(records: DataFrame, partitions: int, base: DataFrame | None = None, order: tuple[str, ...] = ("timestamp", "seq"), slices: int = 1) -> DataFrame:
+    """Adds partition (by key, or by turns) and offset: gapless in each (topic, partition), after `base` (topic, partition, next_offset).
+
+    slices: the number of equal times that the records of a partition are cut into, so that a partition, however hot, is numbered by so many tasks (as far as its
+    records are spread over time). The first column of `order` must then be a time. One slice for every few million records of the largest partition will do.
+    """
     out = records.withColumn("partition", partition_of(F.col("partition_key"), partitions, F.col("seq")))
-    w = Window.partitionBy("topic", "partition").orderBy(*order)
-    out = out.withColumn("offset", F.row_number().over(w).cast("long") - 1)
+    if slices > 1:
+        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        ends = records.agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
+        out = out.join(F.broadcast(ends), how="cross")  # one row
+        out = out.withColumn("__slice", F.coalesce(F.floor((at - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * slices), F.lit(-1))).drop("__lo", "__hi")
+        sizes = out.groupBy("topic", "partition", "__slice").agg(F.count("*").alias("__rows"))
+        lower = Window.partitionBy("topic", "partition").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select("topic", "partition", "__slice", F.coalesce(F.sum("__rows").over(lower), F.lit(0)).alias("__before"))
+        place = F.row_number().over(Window.partitionBy("topic", "partition", "__slice").orderBy(*order))
+        out = out.withColumn("__place", place).join(sizes, ["topic", "partition", "__slice"])
+        out = out.withColumn("offset", F.col("__before") + F.col("__place") - 1).select(*records.columns, "partition", "offset")
+    else:
+        w = Window.partitionBy("topic", "partition").orderBy(*order)
+        out = out.withColumn("offset", F.row_number().over(w).cast("long") - 1)
     if base is None:
         return out
     out = out.join(base.select("topic", "partition", "next_offset"), ["topic", "partition"], "left")

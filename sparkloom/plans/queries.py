@@ -450,6 +450,12 @@ def st_offsets(spark, sf):
     return _log(spark, sf).select("seq", "partition", "offset")
 
 
+@query(f'SELECT seq, "partition", "offset" FROM {_LOG}')
+def st_offsets_sliced(spark, sf):
+    """Each partition numbered in 16 times of the log."""
+    return log.publish(log_records(load(spark, sf, "events")), PARTITIONS, slices=16).select("seq", "partition", "offset")
+
+
 @query(f'SELECT seq, "partition", "offset" + 100 AS "offset" FROM {_LOG}')
 def st_publish_after(spark, sf):
     base = spark.range(PARTITIONS).select(F.lit("events").alias("topic"), F.col("id").cast("int").alias("partition"), F.lit(100).cast("long").alias("next_offset"))
