@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, hilbert_shards, language_id, near_dup, packing, repeats, secret_scan, token_counts
-from sparkloom.llm.tokens import library, tokenizer_path
+from sparkloom.llm.tokens import byte_bpe_ids, library, tokenizer_path
 
 from .conftest import EDGE, prose
 
@@ -361,6 +361,15 @@ def test_packing_round_trip(make):
     assert packing.pack(make(EMPTY)).count() == 0
 
 
+def test_fast_ids_are_those_of_the_library():
+    r = random.Random(31)
+    alphabet = ["abc XYZ 019", "\t\n\r  .,!?'\"-", "éßÀøñ¿«»\xa0", "\u2010\u2018\u2019\u2026\u20ac", "<|endoftext|>", "it's we'll I'VE", "中文\U0001f600\u0301\x00"]
+    texts = ["".join(r.choice(r.choice(alphabet)) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> a<|endoftext|>", "   x", "x   ", "\n\n", "a\u2028b"]
+    path = tokenizer_path("byte_bpe_50k.json")
+    got = byte_bpe_ids(texts, path, tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert all(g.tolist() == library(path).encode(t, add_special_tokens=False).ids for g, t in zip(got, texts))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_packs_every_item_once(seed):
     r = random.Random(seed)
